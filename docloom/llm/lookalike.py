@@ -75,7 +75,7 @@ class Transducer:
         self.sign = re.compile(f"[{rare}{mark}{jamo}]")  # any match holds one
         self.joining = re.compile(f"[{mark}{jamo}]")  # without one, every cluster is one character
         self.runs = re.compile(f"[{rare}]+")
-        self.clusters = re.compile(f"[^{mark}{w}](?:[{w}]*[{mark}])+|[{rare}{mark}][{w}]*|[\u1100-\u115f][{w}\u1160-\u11ff]+")
+        self.clusters = re.compile(f"[^{mark}{w}](?:[{w}]*[{mark}])+|[{mark}][{w}{mark}]*|[{rare}][{w}]*|[\u1100-\u115f][{w}\u1160-\u11ff]+")
         self.cluster = lru_cache(maxsize=65536)(self._cluster)
 
     @staticmethod
