@@ -630,3 +630,49 @@ def json_sink(s, d):
 @query("run_counts", f"SELECT strftime(started_at, '%Y-%m-%d') AS window_start, lower(trim(provider)) AS provider, count(*) AS n_runs, count(*) FILTER (WHERE coalesce(success, false)) AS n_success FROM {_R} GROUP BY 1, 2")
 def runs_by_window(s, d):
     return run_counts(table(s, d, "extract_runs")).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+# Spark's own relational operators over the engine's tables
+
+
+def _runs(s: SparkSession, d: str) -> DataFrame:
+    r = _once(s, d, "extract_runs", "run_id", "provider", "model", "schema_used", "page_count", "success", "started_at", "source_path")
+    return r.withColumns({c: F.lower(F.trim(c)) for c in ("provider", "model")})
+
+
+_RUNS = f"(SELECT run_id, lower(trim(provider)) AS provider, lower(trim(model)) AS model, schema_used, page_count, success, started_at, source_path FROM {_R})"
+
+
+@query("runs_cube", f"SELECT provider, schema_used, CAST(grouping_id(provider, schema_used) AS BIGINT) AS level, count(*) AS n, sum(page_count)::BIGINT AS pages FROM {_RUNS} GROUP BY CUBE (provider, schema_used)")
+def runs_cube(s, d):
+    return _runs(s, d).cube("provider", "schema_used").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("page_count").alias("pages"))
+
+
+@query("runs_rollup", f"SELECT provider, model, count(*) AS n, count(DISTINCT source_path) AS n_sources FROM {_RUNS} GROUP BY ROLLUP (provider, model)")
+def runs_rollup(s, d):
+    return _runs(s, d).rollup("provider", "model").agg(F.count("*").alias("n"), F.countDistinct("source_path").alias("n_sources"))
+
+
+@query("runs_window", f"SELECT run_id, CAST(row_number() OVER (PARTITION BY provider, model ORDER BY started_at, run_id) AS INTEGER) AS place, sum(page_count) OVER (PARTITION BY provider, model ORDER BY started_at, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS last_three FROM {_RUNS}")
+def runs_window(s, d):
+    w = Window.partitionBy("provider", "model").orderBy("started_at", "run_id")
+    return _runs(s, d).select("run_id", F.row_number().over(w).alias("place"), F.sum("page_count").over(w.rowsBetween(-2, 0)).alias("last_three"))
+
+
+@query("runs_without_pages", f"SELECT run_id FROM {_RUNS} r WHERE NOT EXISTS (SELECT 1 FROM page_images p WHERE p.run_id = r.run_id)")
+def runs_without_pages(s, d):
+    return _runs(s, d).select("run_id").join(table(s, d, "page_images").select("run_id"), "run_id", "left_anti")
+
+
+@query("run_sets", f"SELECT 'both' AS part, run_id FROM (SELECT run_id FROM page_images INTERSECT SELECT run_id FROM extract_results) UNION ALL SELECT 'only_pages', run_id FROM (SELECT run_id FROM page_images EXCEPT SELECT run_id FROM extract_results)")
+def run_sets(s, d):
+    p, r = table(s, d, "page_images").select("run_id"), table(s, d, "extract_results").select("run_id")
+    return p.intersect(r).select(F.lit("both").alias("part"), "run_id").union(p.subtract(r).select(F.lit("only_pages").alias("part"), "run_id"))
+
+
+@query("previous_run", f"SELECT run_id, prev AS previous_run FROM (SELECT a.run_id, b.run_id AS prev, row_number() OVER (PARTITION BY a.run_id ORDER BY b.started_at DESC, b.run_id DESC) AS k FROM {_RUNS} a JOIN {_RUNS} b ON a.source_path = b.source_path AND a.provider = b.provider AND a.model = b.model AND (b.started_at < a.started_at OR (b.started_at = a.started_at AND b.run_id < a.run_id))) WHERE k = 1")
+def previous_run(s, d):
+    """As-of join of each run with the one before it on the same file and model: a window, not a range join."""
+    w = Window.partitionBy("source_path", "provider", "model").orderBy("started_at", "run_id")
+    x = _runs(s, d).where("source_path is not null and provider is not null and model is not null and started_at is not null")
+    return x.select("run_id", F.lag("run_id").over(w).alias("previous_run")).where("previous_run is not null")

@@ -205,3 +205,38 @@ def docx_parts(df: DataFrame, id_col: str = "path", content_col: str = "content"
 
     kind = df.schema[id_col].dataType.simpleString()
     return map_columns(df.select(id_col, content_col), fn, f"{id_col} {kind}, part string, xml string")
+
+
+_PARA = re.compile(r"<(?:m:)?oMathPara[^>]*>(.*?)</(?:m:)?oMathPara>", re.S | re.I)
+_ONE = re.compile(r"<(?:m:)?oMath(?:\s[^>]*)?>.*?</(?:m:)?oMath>", re.S | re.I)
+_NS = re.compile(r"(</?)[A-Za-z]+:|\s[A-Za-z]+:[\w.-]+=(?:\"[^\"]*\"|'[^']*')")
+
+
+def fragment_latex(xml: str) -> str:
+    """LaTeX of one equation's XML; what cannot be parsed gives its plain text."""
+    try:
+        return re.sub(r"\s+", " ", math_latex(ET.fromstring(_NS.sub(lambda m: m[1] or "", xml)))).strip()
+    except ET.ParseError:
+        return re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", xml)).strip()
+
+
+def rewrite_math(xml: str) -> str:
+    """A text part with every equation as a run of LaTeX: block equations
+    between double dollars in a paragraph of their own, others between single ones."""
+    run = lambda m, d: f"<w:r><w:t>{d}{escape(fragment_latex(m), quote=False)}{d}</w:t></w:r>"
+
+    def block(m: re.Match) -> str:
+        inner = _ONE.findall(m[1])
+        return f"<w:p>{''.join(run(x, '$$') for x in inner)}</w:p>" if inner else m[0]
+
+    return _ONE.sub(lambda m: run(m[0], "$"), _PARA.sub(block, xml))
+
+
+def math_parts(parts: DataFrame, id_col: str = "path") -> DataFrame:
+    """(id, part, xml) -> the same with equations rewritten; a part that fails stays as it was."""
+
+    def fn(ids, names, xmls):
+        return {id_col: ids, "part": names, "xml": [rewrite_math(x) if x else x for x in xmls]}
+
+    kind = parts.schema[id_col].dataType.simpleString()
+    return map_columns(parts.select(id_col, "part", "xml"), fn, f"{id_col} {kind}, part string, xml string")

@@ -146,3 +146,21 @@ def test_custom_converter(spark):
         assert r.title == "R" and r.error is None
     finally:
         pipeline._CONVERTERS.clear()
+
+
+def test_rewrite_math(spark):
+    xml = '<w:p><m:oMathPara><m:oMath><m:sSup><m:e><m:r><m:t xml:space="preserve">x &lt; y</m:t></m:r></m:e><m:sup><m:r><m:t>2</m:t></m:r></m:sup></m:sSup></m:oMath></m:oMathPara><m:oMath><m:r><m:t>a</m:t></m:r></m:oMath><m:oMath><m:r>bad</m:oMath></w:p>'
+    got = docx.rewrite_math(xml)
+    assert got == "<w:p><w:p><w:r><w:t>$$x &lt; y^{2}$$</w:t></w:r></w:p><w:r><w:t>$a$</w:t></w:r><w:r><w:t>$bad$</w:t></w:r></w:p>"
+    df = spark.createDataFrame([("f", make_docx(BODY)), ("g", b"no")], "path string, content binary")
+    parts = docx.math_parts(docx.docx_parts(df)).collect()
+    assert len(parts) == 1 and "$\\frac{\\sqrt[3]{\\alpha}}{b}$" in parts[0].xml
+
+
+def test_facade(spark):
+    from docloom import api
+
+    df = spark.createDataFrame([("a.html", b"<p>x"), ("b.bin", b"\x00")], "path string, content binary")
+    assert [r.markdown for r in api.to_markdown(df).orderBy("path").collect()] == ["x\n", ""]
+    assert {r.path: r.supported for r in api.is_supported(df).collect()} == {"a.html": True, "b.bin": False}
+    assert api.supported_types(spark).count() > 10 and api.providers["mistral"]["default"] == "pixtral-12b-latest"
