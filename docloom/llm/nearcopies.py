@@ -7,7 +7,9 @@ two fingerprints within radius 2 * (WIDTH - CORE) share at least CORE hashes,
 and the midpoint between them lies within half the radius of both: every
 fingerprint emits all sets that it reaches by dropping WIDTH - CORE of its
 hashes. These variants are shuffled, equal ones meet, the colliding pairs are
-deduplicated and each is verified on the full shingle sets.
+deduplicated and each is verified on the full shingle sets. Pairs whose sizes
+or whose 128 one-bit minhashes are too far apart are dropped in the join, before
+they are written anywhere.
 
 A binary fingerprint was computed first: at the lowest true similarity (0.58)
 one minhash bit differs with probability 0.21, so 64 bits need radius 20 and
@@ -31,11 +33,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrow import map_columns
@@ -48,6 +49,8 @@ COUNTERS = 1 << 20
 #: a shingle in more than this share of the texts (and more than HOT_LEAST texts) is frequent
 HOT_SHARE, HOT_LEAST, FEW = 0.002, 64, 24
 _BLOCK = 1 << 12
+#: ids that may be broadcast (8 bytes each); beyond it they are joined by a shuffle
+MOST_BROADCAST = 1_000_000
 
 
 def _sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,19 +91,9 @@ def frequent_slots(df: DataFrame, text_col: str = "markdown") -> tuple[bytes, in
     return b"".join(bytes(r.hot) for r in rows), rows[0].n if rows else 0
 
 
-def _variants(fp: list[int]) -> list[int]:
-    """Hashes of all sets that dropping leads to; a set of up to two keeps its elements too (half of 1 against 2 is a case)."""
-    if len(fp) < CORE:
-        return fp
-    a = np.array(list(combinations(fp, CORE)), np.uint64)
-    v = np.zeros(len(a), np.uint64)
-    for k in range(CORE):
-        v = S.mix(v * S._M + a[:, k])
-    return v.tolist() + (fp if len(fp) <= CORE else [])
-
-
-def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str) -> DataFrame:
-    """(id, cls, variants, n_shingles): class digest of the shingle set and the variants of the fingerprint."""
+def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """(id, cls, fps, s0, s1, n): class digest of the shingle set, its one or two
+    fingerprints, 128 one-bit minhashes and its size."""
     share = df.sparkSession.sparkContext.broadcast(hot)
 
     def fn(ids, texts):
@@ -108,24 +101,48 @@ def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str) -> DataF
         h, at = _sets(texts)
         key = S.mix(h + np.uint64(1))  # another order than the counters'
         is_hot = flags[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] if len(flags) else np.zeros(len(h), bool)
-        out = {id_col: [], "cls": [], "variants": [], "n_shingles": []}
+        sig = _signatures(h, at)
+        out = {id_col: [], "cls": [], "fps": [], "s0": [], "s1": [], "n": []}
         for k, i in enumerate(ids):
             a, b = at[k], at[k + 1]
             if a == b:
                 continue
-            own, rare = key[a:b], key[a:b][~is_hot[a:b]]
-            v = set()
+            own = key[a:b]
+            rare = own[~is_hot[a:b]]
             sets = [rare] if len(rare) >= CORE else []
             if len(rare) < max(FEW, len(own) // 2):
                 sets.append(own)
-            for x in sets:
-                v.update(_variants(np.sort(np.partition(x, WIDTH)[:WIDTH] if len(x) > WIDTH else x).tolist()))
-            for name, y in zip(out, (i, hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest(), np.array(list(v), np.uint64).astype(np.int64), b - a)):
+            fps = [np.sort(np.partition(x, width)[:width] if len(x) > width else x).astype(np.int64) for x in sets]
+            for name, y in zip(out, (i, hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest(), fps, sig[k, 0], sig[k, 1], b - a)):
                 out[name].append(y)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, cls binary, variants array<bigint>, n_shingles int")
+    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, cls binary, fps array<array<bigint>>, s0 bigint, s1 bigint, n int")
+
+
+def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits a text: of each of 128 equal ranges of the hashes, a bit of the least hash in it."""
+    n = len(at) - 1
+    sig = np.zeros((n, 2), np.uint64)
+    if len(h):
+        of, range_ = np.repeat(np.arange(n), np.diff(at)), (h >> np.uint64(41)).astype(np.int64)
+        first = np.concatenate(([True], (of[1:] != of[:-1]) | (range_[1:] != range_[:-1])))
+        bit = (S.mix(h[first]) & np.uint64(1)) << (range_[first] & 63).astype(np.uint64)
+        np.bitwise_or.at(sig, (of[first], range_[first] >> 6), bit)
+    return sig.astype(np.int64)
+
+
+def variants(fp: Column, core: int = CORE) -> Column:
+    """Hashes of all sets of ``core`` elements that dropping the others leads to. A
+    set that is no larger keeps its elements too (one of two is half)."""
+
+    def grow(made: list[Column], rest: Column) -> Column:
+        if len(made) == core - 1:
+            return F.transform(rest, lambda x: F.xxhash64(*made, x))
+        return F.flatten(F.transform(rest, lambda x, i: grow([*made, x], F.slice(rest, i + 2, F.size(rest)))))
+
+    return F.when(F.size(fp) > core, grow([], fp)).when(F.size(fp) == core, F.concat(grow([], fp), fp)).otherwise(fp)
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -140,25 +157,28 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, s array<int>")
 
 
-def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH, core: int = CORE) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, rep) of every text with shingles, and the verified
     (rep_a, rep_b, similarity) between classes. Both are tables in the shared folder."""
     src = df.select(id_col, text_col).where(F.col(text_col).isNotNull())
     hot, _ = frequent_slots(src, text_col)
-    prints = materialise(fingerprints(src, hot, id_col, text_col), "prints")
-    # copies of one class: the smallest id stands for it; rows are narrow and counted on the map side first
-    reps = prints.groupBy("cls").agg(F.min(id_col).alias("rep"))
-    members = materialise(prints.select(id_col, "cls").distinct().join(reps, "cls").select(id_col, "rep"), "members")
-    of_rep = prints.join(members.where(F.col(id_col) == F.col("rep")).select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    keys = of_rep.select(F.col(id_col).alias("r"), F.explode("variants").alias("v"))
-    keys = keys.where(F.col("v").isNotNull())
-    shared = keys.groupBy("v").agg(F.count("*").alias("n")).where("n > 1").select("v")
-    met = keys.join(shared, "v", "left_semi")
-    a, b = met.select("v", F.col("r").alias("a")), met.select("v", F.col("r").alias("b"))
-    cand = materialise(a.join(b, "v").where("a < b").select("a", "b").distinct(), "candidates")
+    prints = materialise(fingerprints(src, hot, id_col, text_col, width), "prints")
+    # copies of one class hold the same fingerprint: the smallest id stands for them
+    first = [F.first(c).alias(c) for c in ("fps", "s0", "s1", "n")]
+    reps = materialise(prints.groupBy("cls").agg(F.min(id_col).alias("rep"), *first), "reps")
+    members = materialise(prints.select(id_col, "cls").distinct().join(reps.select("cls", "rep"), "cls").select(id_col, "rep"), "members")
+    v = F.array_distinct(F.flatten(F.transform("fps", lambda fp: variants(fp, core))))
+    keys = reps.select(F.explode(v).alias("v"), F.col("rep").alias("r"), "s0", "s1", "n")
+    a = keys.select("v", *[F.col(c).alias(f"{c}_a") for c in ("r", "s0", "s1", "n")])
+    b = keys.select("v", *[F.col(c).alias(f"{c}_b") for c in ("r", "s0", "s1", "n")])
+    apart = F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) + F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b")))
+    like = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & (apart <= _most_apart(threshold))
+    cand = materialise(a.join(b, "v").where("r_a < r_b").where(like).select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct(), "candidates")
     wanted = cand.select(F.col("a").alias(id_col)).union(cand.select(F.col("b").alias(id_col))).distinct()
-    sets = shingle_sets(src.join(wanted, id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col)
-    sets = materialise(sets, "sets")
+    wanted = materialise(wanted, "wanted")
+    small = wanted.count() <= MOST_BROADCAST  # else the texts are shuffled to the ids
+    texts = src.join(F.broadcast(wanted) if small else wanted, id_col, "left_semi")
+    sets = materialise(shingle_sets(texts.dropDuplicates([id_col]), id_col, text_col), "sets")
     x = cand.join(sets.select(F.col(id_col).alias("a"), F.col("s").alias("sa")), "a")
     y = x.join(sets.select(F.col(id_col).alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -167,6 +187,12 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     return members, materialise(links, "links")
 
 
+def _most_apart(threshold: float, bits: int = 128) -> int:
+    """Differing bits that a pair at the threshold exceeds with a chance below 10^-4 (3.8 standard deviations)."""
+    p = (1 - threshold) / 2
+    return int(bits * p + 3.8 * (bits * p * (1 - p)) ** 0.5 + 1)
+
+
 def near_pairs(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5) -> DataFrame:
     """(id_a, id_b): all pairs of different ids whose texts reach the threshold."""
     members, links = near_classes(df, id_col, text_col, threshold)
