@@ -142,7 +142,7 @@ def variants(fp: Column, core: int = CORE) -> Column:
             return F.transform(rest, lambda x: F.xxhash64(*made, x))
         return F.flatten(F.transform(rest, lambda x, i: grow([*made, x], F.slice(rest, i + 2, F.size(rest)))))
 
-    return F.when(F.size(fp) > core, grow([], fp)).when(F.size(fp) == core, F.concat(grow([], fp), fp)).otherwise(fp)
+    return F.when(F.size(fp) > 2 * core - 2, grow([], fp)).otherwise(F.concat(grow([], fp), fp))
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -193,19 +193,19 @@ def _most_apart(threshold: float, bits: int = 128) -> int:
     return int(bits * p + 3.8 * (bits * p * (1 - p)) ** 0.5 + 1)
 
 
-def near_pairs(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """(id_a, id_b): all pairs of different ids whose texts reach the threshold."""
-    members, links = near_classes(df, id_col, text_col, threshold)
+    members, links = near_classes(df, id_col, text_col, threshold, width, core)
     m = lambda x, r: members.select(F.col(id_col).alias(x), F.col("rep").alias(r))
     same = m("x", "r").join(m("y", "r"), "r").where("x < y").select("x", "y")
     cross = links.select("rep_a", "rep_b").join(m("x", "rep_a"), "rep_a").join(m("y", "rep_b"), "rep_b").select("x", "y")
     return same.union(cross).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 
-def near_groups(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, rounds: int = 40) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, rounds: int = 40, width: int = WIDTH, core: int = CORE) -> DataFrame:
     """(id, rep, group_id, n_links): the class, the group of copies and the
     number of links to other classes of every text with shingles."""
-    members, links = near_classes(df, id_col, text_col, threshold)
+    members, links = near_classes(df, id_col, text_col, threshold, width, core)
     edges = links.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("w"))
     edges = edges.union(edges.select("w", "u")).toDF("u", "w")
     degree = edges.groupBy("u").agg(F.count("*").alias("n_links"))

@@ -59,7 +59,33 @@ QUERIES: dict[str, Q] = {
     "p9_composition": lambda s, d: subjects.composition(materialise(_classified(s, d), "classified")),
 }
 
+# independent SQL for the searches that patterns can express
+
+_Q = "'"
+_FOLD = {k: v for k, v in lookalike.rules().items() if len(v) == 1} | {"ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
+P5 = f"""
+        WITH c AS (SELECT DISTINCT conv_id, title, markdown FROM conversions),
+             v AS (SELECT conv_id, 'title' AS field_name, title AS v FROM c WHERE title <> '' UNION ALL SELECT conv_id, 'markdown', markdown FROM c WHERE markdown <> ''),
+             n AS (SELECT *, nfc_normalize(translate(regexp_replace(v, '[{lookalike.WIDTHLESS}]', '', 'g'), '{"".join(_FOLD)}', '{"".join(_FOLD.values()).replace(_Q, _Q * 2)}')) AS n FROM v)
+        SELECT a.conv_id AS conv_id_a, b.conv_id AS conv_id_b, a.field_name FROM n a JOIN n b ON a.field_name = b.field_name AND a.n = b.n AND a.v <> b.v AND a.conv_id < b.conv_id"""
+_FENCE = "|".join(rf"(?:^[ \t]*{c}{{{n}}}[^{c}\n]*\n(?s:.*?)^[ \t]*{c}{{{n},}}[ \t\r]*$)" for c in "`~" for n in (6, 5, 4, 3))
+P2 = rf"""
+        WITH c AS (SELECT DISTINCT ON (conv_id) conv_id, markdown AS m FROM conversions WHERE length(markdown) > 3000),
+             f AS (SELECT conv_id, list_reduce(list_prepend(m, regexp_extract_all(m, '(?m){_FENCE}')), lambda a, x: replace(a, x, repeat('x', length(x)))) AS t FROM c)
+        SELECT conv_id, CASE WHEN list_max(list_transform(string_split_regex(t, '\r?\n([ \t]*\r?\n)+'), lambda s: length(rtrim(s, chr(13) || chr(10))))) > 3000 THEN 'inside_block' ELSE 'between_blocks' END AS cut_kind FROM f"""
+_HTML = r'<!--|</?[A-Za-z][A-Za-z0-9]*(:[a-z]+)?(\s+[A-Za-z-]+\s*=\s*("[^"]*"|\x27[^\x27]*\x27|[^\s>"\x27]+))*\s*/?>|&(#[0-9]+|[A-Za-z]{2,8}[0-9]?);'
+_WIKI = r'(?m)\[\[[^\[\]\n]+\]\]|\{\{|^[ \t]*\{\||\x27\x27[^\s\x27]|__[A-Z]{3,}__|^={1,6}[^=\n]+={1,6}[ \t\r]*$|\[https?://[^\s\]]+ [^\]\n]+\]'
+_LATEX = r'(?m)\\[A-Za-z]{2,}\*?(\[[^\]\n]*\])?\{|\\(maketitle|noindent|bf|it|hline|item)\b|[0-9]\\[,%]|\\\\[ \t\r]*$'
+P1 = rf"""
+        WITH c AS (SELECT DISTINCT conv_id, markdown AS m FROM conversions WHERE markdown IS NOT NULL),
+             a AS (SELECT conv_id, regexp_replace(m, '(?m){_FENCE}|`[^`\n]+`|``[^\n]+?``|\$\$(?s:.+?)\$\$', '', 'g') AS m FROM c),
+             b AS (SELECT conv_id, regexp_replace(regexp_replace(m, '\$[^\s$]([^$\n]*[^\s$\\])?\$([^0-9$]|$)', '\2', 'g'), '[A-Za-z]:\\\S*', '', 'g') AS m FROM a)
+        SELECT conv_id, kind FROM (SELECT conv_id, unnest([CASE WHEN regexp_matches(m, '{_HTML}') THEN 'html' END, CASE WHEN regexp_matches(m, '{_WIKI}') THEN 'wiki' END, CASE WHEN regexp_matches(m, '{_LATEX}') THEN 'latex' END]) AS kind FROM b) WHERE kind IS NOT NULL"""
+
 ORACLE: dict[str, str] = {
+    "p1_found": P1,
+    "p2_found": P2,
+    "p5_found": P5,
     "p4_found": """
         WITH r AS (SELECT DISTINCT ON (run_id) lower(trim(provider)) AS provider, lower(trim(model)) AS model,
                           strftime(started_at, '%Y-%m-%d') AS run_day, processing_time AS v

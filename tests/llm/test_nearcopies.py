@@ -1,6 +1,10 @@
 import random
 
-from docloom.llm.nearcopies import near_groups, near_pairs
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from docloom.llm.nearcopies import near_groups, near_pairs, variants
 
 random.seed(5)
 WORDS = [f"w{i}" for i in range(400)]
@@ -60,3 +64,20 @@ def test_empty(spark):
 def test_copies_of_one_text(spark):
     df = spark.createDataFrame([(i, "the same five words here") for i in range(60)], "conv_id long, markdown string")
     assert near_pairs(df).count() == 60 * 59 // 2
+
+
+def test_variants(spark):
+    rows = [(list(range(10, 10 + n)),) for n in range(7)]
+    df = spark.createDataFrame(rows, "fp array<bigint>")
+    for core in (2, 3):
+        for r in df.select("fp", variants(F.col("fp"), core).alias("v")).collect():
+            n = len(r.fp)
+            want = len(list(combinations(r.fp, core))) + (n if n <= 2 * core - 2 else 0)
+            assert len(set(r.v)) == len(r.v) == want
+
+
+def test_wider_core(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "conv_id long, markdown string")
+    got = {tuple(r) for r in near_pairs(df, width=10, core=3).collect()}
+    assert got == brute(docs)
