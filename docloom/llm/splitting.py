@@ -74,11 +74,6 @@ def _closers(text: str, lines: list[tuple[int, int]]) -> dict[int, int]:
     return out
 
 
-def _between(text: str, spans: list[tuple[int, int]]) -> list[int]:
-    """Cuts between blocks: where the next block starts."""
-    return [a for a, _ in spans[1:]]
-
-
 def _snap(levels: list[list[int]], lo: int, hi: int, target: int) -> int:
     """The boundary in [lo, hi] of the strongest level that has one, nearest to the target."""
     for cuts in levels:
@@ -96,40 +91,47 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[l
     n = len(text)
     if n <= limit:
         return [0, n], spans
-    outside = _between(text, spans)
+    outside = [a for a, _ in spans[1:]]
     lines = [m.end() for m in re.finditer(r"\r\n|\r|\n", text)]
     levels = [outside, lines, [m.end() for m in _SENTENCE.finditer(text)], [m.end() for m in _WORD.finditer(text)]]
     room = limit - overlap
-    count = 1 + -(-(n - limit) // room)
+    starts, between = frozenset(outside), _greedy(outside, n, limit, room)
+    least = count = 1 + -(-(n - limit) // room)
     while True:
-        cuts = [0]
-        for k in range(1, count):
-            at, left = cuts[-1], count - k
-            most = at + (room if k > 1 else limit)
-            least = max(at + 1, n - left * room)  # what the pieces left can still hold
-            if least > most:
-                break
-            cuts.append(_snap(levels, least, min(most, n - 1), round(at + (n - at) / (left + 1))))
-        else:
-            if n - cuts[-1] <= (room if len(cuts) > 1 else limit):
-                if count > 4 * n // room + 4 or all(c in _set(outside) for c in cuts[1:]) or not _better(levels, n, limit, room, count):
-                    return [*cuts, n], spans
-        count += 1
-
-
-def _set(x: list[int]) -> frozenset[int]:
-    return frozenset(x)
-
-
-def _better(levels: list[list[int]], n: int, limit: int, room: int, count: int) -> bool:
-    """Whether one piece more lets every cut stand between blocks."""
-    outside, at, pieces = levels[0], 0, 1
-    while n - at > (room if pieces > 1 else limit):
-        i = bisect.bisect_right(outside, at + (room if pieces > 1 else limit)) - 1
-        if i < 0 or outside[i] <= at:
-            return False
-        at, pieces = outside[i], pieces + 1
-    return pieces > count
+        cuts = _balanced(levels, n, limit, room, count, starts if between else None)
+        if cuts:
+            return [*cuts, n], spans
+        if between is not None and count >= len(between):
+            return [*between, n], spans  # targets missed a way to cut between blocks only
+        # a few pieces more may do; else as many as cutting between blocks needs
+        count = count + 1 if between is None or count < least + 8 else max(count + 1, len(between))
+
+
+def _balanced(levels: list[list[int]], n: int, limit: int, room: int, count: int, only: frozenset[int] | None) -> list[int] | None:
+    """Starts of ``count`` pieces of about equal length; None where a piece would
+    pass the limit or, if ``only`` is given, a cut would stand elsewhere."""
+    cuts = [0]
+    for k in range(1, count):
+        at, left = cuts[-1], count - k
+        most = at + (room if k > 1 else limit)
+        least = max(at + 1, n - left * room)  # what the pieces left can still hold
+        if least > most:
+            return None
+        cuts.append(_snap(levels, least, min(most, n - 1), round(at + (n - at) / (left + 1))))
+        if only is not None and cuts[-1] not in only:
+            return None
+    return cuts if n - cuts[-1] <= (room if len(cuts) > 1 else limit) else None
+
+
+def _greedy(outside: list[int], n: int, limit: int, room: int) -> list[int] | None:
+    """Starts of the fewest pieces that are all cut between blocks, or None."""
+    cuts = [0]
+    while n - cuts[-1] > (room if len(cuts) > 1 else limit):
+        i = bisect.bisect_right(outside, cuts[-1] + (room if len(cuts) > 1 else limit)) - 1
+        if i < 0 or outside[i] <= cuts[-1]:
+            return None
+        cuts.append(outside[i])
+    return cuts
 
 
 def split_rows(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
