@@ -81,3 +81,31 @@ def test_wider_core(spark):
     df = spark.createDataFrame(docs, "conv_id long, markdown string")
     got = {tuple(r) for r in near_pairs(df, width=10, core=3).collect()}
     assert got == brute(docs)
+
+
+def words(r, n):
+    return [f"v{r.randrange(10**6)}" for _ in range(n)]
+
+
+def test_recall_of_cut_copies(spark):
+    r = random.Random(11)
+    stock = [words(r, 28) for _ in range(12)]
+    texts = []
+    for _ in range(150):  # almost half stock phrases, and a copy that keeps them with a sixth of the rest
+        head, own = [w for b in r.sample(stock, 4) for w in b], words(r, 122)
+        texts += [head + own, head + own[:24]]
+    for _ in range(200):  # no stock phrase, one set inside the other
+        own = words(r, 240)
+        texts += [own, own[: r.randrange(122, 140)]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = brute(docs)
+    assert len(want & {(i, i + 1) for i in range(0, len(docs), 2)}) == 350
+    got = {tuple(p) for p in near_pairs(spark.createDataFrame(docs, "conv_id long, markdown string")).collect()}
+    assert got == want
+
+
+def test_reach(spark):
+    df = spark.createDataFrame([(list(range(10, 10 + n)),) for n in range(9)], "fp array<bigint>")
+    for r in df.select("fp", variants(F.col("fp"), 2, 2).alias("v"), variants(F.col("fp"), 2).alias("every")).collect():
+        n = len(r.fp)
+        assert set(r.v) <= set(r.every) and len(r.v) == (len(r.every) if n <= 4 else 2 * n - 3)
