@@ -71,11 +71,11 @@ _LATEX = re.compile(
     r"\\(?P<env>begin|end)\s*\{(?P<name>[A-Za-z]+\*?)\}(?:\s*[\[{][^\]}\n]*[\]}])*"
     r"|\\(?P<cmd>[A-Za-z]{2,}\*?|[cvHukdb](?=\{))(?:\[[^\]\n]*\])?\{"
     rf"|(?<![A-Za-z0-9])\\(?P<bare>(?:{_LATEX_BARE})(?![A-Za-z])\*?)"
-    r"|(?P<open>\\[(\[])(?=[^\n]{0,400}?(?:\\[A-Za-z]|[\^_=])[^\n]{0,400}?\\[)\]])"
     r"|(?P<br>\\\\(?:\[[^\]\n]*\])?(?=[ \t]*(?:$|\\(?:hline|end|midrule|bottomrule))))"
     r"|(?P<sp>(?<=[\w.)])\\[,;:!](?=\s|\\|\w)|(?<=\d)\\%|(?<=\\,)\\%)",
     re.M | re.S,
 )
+_OPEN, _MATH_SIGN, _BLANK = re.compile(r"\\[(\[]"), re.compile(r"\\[A-Za-z]|[\^_=]"), re.compile(r"\n[ \t]*\n")
 _LATEX_ACCENT = re.compile(r"\\[\"'`^~]\{[A-Za-z]\}")
 _HEAD_CMD = {"part": 1, "chapter": 1, "title": 1, "section": 2, "subsection": 3, "subsubsection": 4, "paragraph": 5, "subparagraph": 6}
 _DROP_CMD = frozenset("label ref eqref pageref autoref cref cite citep citet citeauthor citeyear nocite bibliography bibliographystyle usepackage documentclass author date vspace hspace includegraphics pagestyle thispagestyle setlength input include index".split())
@@ -266,6 +266,38 @@ def _closing(text: str, i: int) -> int:
     return i
 
 
+def _hold_math(text: str, count: list[int], held: list[str], mark: str) -> str:
+    """LaTeX's own formula marks become dollar signs, and the formulas are held out.
+
+    A formula ends at the closing mark of its kind before the next blank line and
+    holds a sign of mathematics. Each next place is searched once: linear time.
+    """
+    out, pos, ahead = [], 0, {}
+    paths, p = [m.span() for m in _PATH.finditer(text)], 0
+
+    def following(what: str, i: int) -> int:
+        if ahead.get(what, -1) < i:
+            m = {"sign": _MATH_SIGN, "blank": _BLANK}[what].search(text, i) if what in ("sign", "blank") else None
+            at = m.start() if m else text.find(what, i) if what[0] == "\\" else -1
+            ahead[what] = at if at >= 0 else len(text)
+        return ahead[what]
+
+    for m in _OPEN.finditer(text):
+        if m.start() < pos:
+            continue
+        while p < len(paths) and paths[p][1] <= m.start():
+            p += 1
+        a, end = m.end(), following("\\)" if m[0] == "\\(" else "\\]", m.end())
+        if end == len(text) or following("blank", a) < end or following("sign", a) >= end or p < len(paths) and paths[p][0] <= m.start():
+            continue
+        body = re.sub(f"{mark}(\\d+){mark}", lambda k: held[int(k[1])], text[a:end].strip())
+        held.append("$" + re.sub(r"\s*\n\s*", " ", body) + "$" if m[0] == "\\(" else f"$${body}$$")
+        out += [text[pos : m.start()], f"{mark}{len(held) - 1}{mark}"]
+        pos = end + 2
+        count[2] += 1
+    return "".join(out) + text[pos:]
+
+
 def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
     out, pos, envs, paths = [], 0, [], [m.span() for m in _PATH.finditer(text)] if "\\" in text else []
     p = 0
@@ -331,12 +363,6 @@ def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
                 out.append(b)
             elif text[pos : pos + 1] == " " and (out[-1].endswith("{") or _at_line(out)):
                 pos += 1
-        elif m["open"]:
-            end = text.find("\\)" if m["open"] == "\\(" else "\\]", pos)
-            q = "$" if m["open"] == "\\(" else "$$"
-            end = len(text) if end < 0 else end
-            out.append(q + text[pos:end].strip() + q)
-            pos = end + 2
         elif m["br"]:
             out.append("\n" if text[pos : pos + 1] not in ("\n", "") else "")
         else:
@@ -344,7 +370,7 @@ def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
     out.append(text[pos:])
     text = "".join(out)
     if count[2]:
-        text = re.sub(r"(?<![\\${])\{([^{}\n\\]{1,200})\}(?!\})", r"\1", text) if "{" in text else text
+        text = re.sub(r"(?<![\\${])\{([^{}\n\\]+)\}(?!\})", r"\1", text) if "{" in text else text
         text = re.sub(r"(?<=\w)~(?=[\w(])", " ", text)
     return text
 
@@ -390,7 +416,10 @@ def clean_text(text: str | None, window: int = 3, surge: int = 1) -> tuple[str |
     if "`" in work or "~~~" in work or "$" in work:
         work = _PROTECT.sub(lambda m: _kept(m, held, mark), work)
     before = work
-    work = _wiki_to_md(_latex_to_md(_html_to_md(work, count), count), count)
+    work = _html_to_md(work, count)
+    if "\\(" in work or "\\[" in work:
+        work = _hold_math(work, count, held, mark)
+    work = _wiki_to_md(_latex_to_md(work, count), count)
     if not any(count):
         return text, count
     own = {s.strip() for s in before.split("\n")}

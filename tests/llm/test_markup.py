@@ -70,6 +70,26 @@ def test_line_blocks():
     assert line_blocks([], []) == []
 
 
+@pytest.mark.parametrize(
+    "text,clean",
+    [
+        ("so\n\\[\na^{2}\n= b\n\\]\nend", "so\n$$a^{2}\n= b$$\nend"),
+        ("\\(" + "a + " * 300 + "b = c\\)", "$" + "a + " * 300 + "b = c$"),
+        ("so \\(a\n= b\\) ends", "so $a = b$ ends"),
+        ("\\[\\frac{a}{b}\\]", "$$\\frac{a}{b}$$"),
+        ("\\emph{x} {" + "long " * 60 + "group}", "*x* " + "long " * 60 + "group"),
+    ],
+)
+def test_latex_of_any_length(text, clean):
+    got, n = clean_text(text)
+    assert got == clean and n == [0, 0, 1] and clean_text(got)[1] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("text", ["\\[a = b\n\nc\\]", "\\[x\\] a_b \\(y\\)", "\\[a = b\\)", "\\(" * 50_000 + "\\)"])
+def test_no_formula(text):
+    assert clean_text(text) == (text, [0, 0, 0])
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab <>/&;{}[]|'=$`~\\\n_#\r", max_size=60))
 def test_total(text):
