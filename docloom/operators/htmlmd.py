@@ -5,12 +5,15 @@ emphasis, code, quotes, rules and breaks; formulas between dollar signs are
 kept as they stand. ``literal`` reproduces documented quirks: ATX headings
 only, bullets for every list, a table separator only under a row that looks
 like a header. Null gives null; broken HTML never fails, open tags close where
-HTML says so.
+HTML says so. Elements may be nested to any depth: the writer's steps are
+generators that yield the step they wait for, and ``_run`` keeps them on a stack.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Generator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -49,14 +52,21 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("#root")
         self.open = [self.root]
+        self.n_open: Counter = Counter()  # a tag that is not open is not looked for
+
+    def _cut(self, i: int) -> None:
+        for n in self.open[i:]:
+            self.n_open[n.tag] -= 1
+        del self.open[i:]
 
     def _close(self, names: tuple[str, ...], limits: tuple[str, ...]) -> None:
+        if not any(self.n_open[n] for n in names):
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag in limits:
                 return
             if self.open[i].tag in names:
-                del self.open[i:]
-                return
+                return self._cut(i)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in _P_ENDERS:
@@ -67,19 +77,21 @@ class _Tree(HTMLParser):
                 self._close((n,), limits)
         node = _Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
-        if tag not in _VOID and len(self.open) < 400:
+        if tag not in _VOID:
             self.open.append(node)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in _VOID and self.open[-1].tag == tag:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.n_open[tag]:
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+                return self._cut(i)
 
     def handle_data(self, data: str) -> None:
         self.open[-1].kids.append(data)
@@ -118,14 +130,27 @@ def _cell(s: str) -> str:
     return s.strip().replace("|", "\\|").replace("\n", " ")
 
 
+def _run(step: Generator):
+    """The result of a step; the steps it waits for are kept on a stack."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
+
+
 class _Writer:
     def __init__(self, o: Options) -> None:
         self.o, self.literal = o, o.compat == "literal"
 
-    def inner(self, n: _Node, parent: str = "") -> str:
+    def inner(self, n: _Node, parent: str = "") -> Generator:
         out = ""
         for k in n.kids:
-            s = self.text(k, n) if isinstance(k, str) else self.node(k, n)
+            s = self.text(k, n) if isinstance(k, str) else (yield self.node(k, n))
             if out.endswith("\n"):
                 s = s.lstrip(" ") if isinstance(k, str) else s.lstrip("\n") if out.endswith("\n\n") else s
             elif not out and isinstance(k, str) and n.tag in _BLOCKS | {"#root", "li", "td", "th"}:
@@ -142,9 +167,18 @@ class _Writer:
         return _escape(s)
 
     def raw(self, n: _Node) -> str:
-        return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else self.raw(k) for k in n.kids)
-
-    def node(self, n: _Node, parent: _Node) -> str:
+        out, todo = [], [n]
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k is not n and k.tag == "br":
+                out.append("\n")
+            else:
+                todo.extend(reversed(k.kids))
+        return "".join(out)
+
+    def node(self, n: _Node, parent: _Node) -> Generator:
         t = n.tag
         if t in _SKIP:
             return ""
@@ -160,7 +194,7 @@ class _Writer:
             body = self.raw(n).strip("\n")
             return f"\n\n```{lang}\n{body}\n```\n\n"
         if t == "table" and self.o.preserve_tables:
-            return self.table(n)
+            return (yield self.table(n))
         if self.literal and t in ("h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "p", "b", "strong", "em", "i", "span"):
             whole = self.raw(n).strip()
             if re.fullmatch(r"\$\$[^$]+\$\$", whole):
@@ -168,8 +202,8 @@ class _Writer:
             if re.fullmatch(r"\$[^$]+\$", whole):
                 return whole
         if t in ("ul", "ol"):
-            return self.items(n, parent)
-        s = self.inner(n)
+            return (yield self.items(n, parent))
+        s = yield self.inner(n)
         if t[0] == "h" and len(t) == 2 and t[1] in "123456":
             s = re.sub(r"\s*\n\s*", " ", s).strip()
             if not s:
@@ -202,12 +236,12 @@ class _Writer:
             return f"\n\n{s}\n\n" if s.strip() else ""
         return s
 
-    def items(self, n: _Node, parent: _Node) -> str:
+    def items(self, n: _Node, parent: _Node) -> Generator:
         out, k = [], int(n.attrs["start"]) if re.fullmatch(r"\d{1,9}", n.attrs.get("start", "")) else 1
         for li in n.kids:
             if not isinstance(li, _Node):
                 continue
-            s = (self.inner(li) if li.tag == "li" else self.node(li, n)).strip()
+            s = (yield self.inner(li) if li.tag == "li" else self.node(li, n)).strip()
             if not s:
                 continue
             mark = f"{k}. " if n.tag == "ol" and not self.literal else "- "
@@ -217,20 +251,23 @@ class _Writer:
         body = "\n".join(out)
         return ("\n" + body + "\n" if parent.tag == "li" else "\n\n" + body + "\n\n") if body else ""
 
-    def rows(self, n: _Node) -> list[tuple[list[str], bool]]:
+    def rows(self, n: _Node) -> Generator:
         out = []
         for k in n.kids:
             if isinstance(k, str):
                 continue
             if k.tag == "tr":
                 cells = [c for c in k.kids if isinstance(c, _Node) and c.tag in ("td", "th")]
-                out.append(([_cell(self.inner(c)) for c in cells], bool(cells) and all(c.tag == "th" for c in cells)))
+                texts = []
+                for c in cells:
+                    texts.append(_cell((yield self.inner(c))))
+                out.append((texts, bool(cells) and all(c.tag == "th" for c in cells)))
             elif k.tag != "table":
-                out += self.rows(k)
+                out += yield self.rows(k)
         return out
 
-    def table(self, n: _Node) -> str:
-        rows = [r for r in self.rows(n) if r[0]]
+    def table(self, n: _Node) -> Generator:
+        rows = [r for r in (yield self.rows(n)) if r[0]]
         if not rows:
             return ""
         if self.literal:
@@ -257,7 +294,7 @@ def convert(html: str | None, o: Options = Options()) -> str | None:
     tree = _Tree()
     tree.feed(h)
     tree.close()
-    md = _Writer(o).inner(tree.root)
+    md = _run(_Writer(o).inner(tree.root))
     if o.compat == "literal":
         md = re.sub(r"\n{4,}", "\n\n\n", md)
         md = re.sub(r"\n(#{1,6} .+)\n", r"\n\1\n\n", md)

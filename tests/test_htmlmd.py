@@ -36,6 +36,15 @@ def test_literal_and_options():
     assert convert(None) is None
 
 
+def test_any_depth():
+    deep = 3000
+    inside = "<ol><li>a<li><b>b</b></ol><table><tr><td>x<td>y</table>"
+    for tag in ("div", "span", "section"):
+        assert convert(f"<{tag}>" * deep + inside + f"</{tag}>" * deep + "<p>c") == convert(f"<{tag}>{inside}</{tag}><p>c"), tag
+    lists = convert("<ul><li>x" * 500).split("\n")
+    assert lists[:-1] == ["  " * k + "- x" for k in range(500)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="<>/abpliotdrh1 =\"'\n&;$*_", max_size=80))
 def test_ends_in_one_newline(html):
