@@ -3,7 +3,9 @@
 Balanced targets: the least number of pieces gives equal-length targets; each
 target is snapped to the strongest boundary near it (between blocks, then
 lines, sentences, words, characters); where a piece would pass the limit, one
-piece more is tried. Every piece after the first starts with the last
+piece more is tried. Where all cuts can stand between blocks they do, in the
+least number of such pieces; if snapping misses such cuts, the ones with the
+shortest longest piece are searched and each set near its target. Every piece after the first starts with the last
 ``overlap`` characters of the piece before it, within the limit.
 
 A block ends at an empty or blank line; a fenced code block is one block,
@@ -96,15 +98,13 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[l
     levels = [outside, lines, [m.end() for m in _SENTENCE.finditer(text)], [m.end() for m in _WORD.finditer(text)]]
     room = limit - overlap
     starts, between = frozenset(outside), _greedy(outside, n, limit, room)
-    least = count = 1 + -(-(n - limit) // room)
-    while True:
-        cuts = _balanced(levels, n, limit, room, count, starts if between else None)
-        if cuts:
-            return [*cuts, n], spans
-        if between is not None and count >= len(between):
-            return [*between, n], spans  # targets missed a way to cut between blocks only
-        # a few pieces more may do; else as many as cutting between blocks needs
-        count = count + 1 if between is None or count < least + 8 else max(count + 1, len(between))
+    if between:
+        cuts = _balanced(levels, n, limit, room, len(between), starts) or _even(outside, n, limit, room, len(between))
+        return [*cuts, n], spans
+    count = 1 + -(-(n - limit) // room)
+    while not (cuts := _balanced(levels, n, limit, room, count, None)):
+        count += 1
+    return [*cuts, n], spans
 
 
 def _balanced(levels: list[list[int]], n: int, limit: int, room: int, count: int, only: frozenset[int] | None) -> list[int] | None:
@@ -134,6 +134,26 @@ def _greedy(outside: list[int], n: int, limit: int, room: int) -> list[int] | No
     return cuts
 
 
+def _even(outside: list[int], n: int, limit: int, room: int, count: int) -> list[int]:
+    """Starts of ``count`` pieces cut between blocks, where that is the least number:
+    the longest piece as short as it can be, each cut nearest to its target."""
+    low, high = -(-n // count), max(limit, room)
+    while low < high:
+        mid = (low + high) // 2
+        got = _greedy(outside, n, min(limit, mid), min(room, mid))
+        low, high = (low, mid) if got and len(got) <= count else (mid + 1, high)
+    first, other = min(limit, low), min(room, low)
+    earliest = [n]  # starts from which the pieces left still reach the end, from the last
+    for _ in range(count - 1):
+        earliest.append(outside[bisect.bisect_left(outside, earliest[-1] - other)])
+    cuts = [0]
+    for k in range(1, count):
+        at = cuts[-1]
+        target = round(at + (n - at) / (count - k + 1))
+        cuts.append(_snap([outside], max(at + 1, earliest[count - k]), at + (other if k > 1 else first), target))
+    return cuts
+
+
 def split_rows(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(id, piece_no, n_pieces, start, length, piece, cut_kind, longest_block).
 

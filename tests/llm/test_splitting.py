@@ -36,3 +36,10 @@ def test_column(spark):
     p = split_rows(df).where("conv_id = 4").orderBy("piece_no").collect()
     assert p[1].piece.startswith(p[0].piece[-200:]) and p[1].start == len(p[0].piece) - 200 and max(r.length for r in p) <= 3000
     assert oversized(df.limit(0)).count() == 0
+
+
+def test_cuts_between_blocks_are_even():
+    text = "\n\n".join("x" * k for k in (24, 40, 8, 17, 12, 28, 16, 38, 54, 19, 18))
+    cuts, spans = split_text(text, 100, 10)
+    assert cuts[-1] == len(text) and all(c in {a for a, _ in spans} for c in cuts[1:-1])
+    assert len(cuts) == 6 and max(b - a for a, b in zip(cuts, cuts[1:])) == 73  # by brute force; filled one by one the longest has 97
