@@ -86,8 +86,7 @@ def share_out(budget: float, children: list[Node]) -> float:
     return max(0.0, left)
 
 
-def plan(leaves: list[tuple], targets: dict[str, tuple[float, int]], total: float) -> dict[tuple, tuple[float, float]]:
-    """Budgets: path -> (tokens, size) of each leaf of listed sources. ``leaves``: (path, size)."""
+def _tree(leaves: list[tuple], targets: dict[str, tuple[float, int]]) -> Node:
     root = Node()
     for path, size in leaves:
         if path[0] not in targets:
@@ -100,6 +99,17 @@ def plan(leaves: list[tuple], targets: dict[str, tuple[float, int]], total: floa
             node.weight = node.size
     for s, (w, _) in targets.items():
         root.children.setdefault(s, Node()).weight = w
+    return root
+
+
+def unplaced(leaves: list[tuple], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
+    """Tokens of each listed source's own share that the family below its node cannot take."""
+    return {s: share_out(targets[s][0] * total, list(node.children.values())) for s, node in _tree(leaves, targets).children.items()}
+
+
+def plan(leaves: list[tuple], targets: dict[str, tuple[float, int]], total: float) -> dict[tuple, tuple[float, float]]:
+    """Budgets: path -> (tokens, size) of each leaf of listed sources. ``leaves``: (path, size)."""
+    root = _tree(leaves, targets)
     out: dict[tuple, tuple[float, float]] = {}
 
     def down(path: tuple, node: Node, budget: float) -> None:
@@ -128,13 +138,14 @@ def target_map(targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 def report(leaves: list[tuple], targets: dict[str, tuple[float, int]]) -> list[tuple]:
-    """(source, weight, max_repeats, size, budget, share_possible) of each listed source."""
+    """(source, weight, max_repeats, size, budget, share_possible) of each listed source.
+    A share is possible if the tree places it, but for what rounding leaves."""
     total = sum(x for _, x in leaves)
-    got = plan(leaves, targets, total)
+    got, rest = plan(leaves, targets, total), unplaced(leaves, targets, total)
     out = []
     for s, (w, r) in targets.items():
         size = float(sum(x for p, x in leaves if p[0] == s))
-        out.append((s, w, r, size, float(sum(b for p, (b, _) in got.items() if p[0] == s)), r * size >= w * total))
+        out.append((s, w, r, size, float(sum(b for p, (b, _) in got.items() if p[0] == s)), rest[s] <= 0 or r * size >= w * total))
     return out
 
 
@@ -179,7 +190,7 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer:
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(source): the listed sources whose budget falls short of their share."""
+    """(source): the listed sources whose share the tree cannot place below their node."""
     goal = target_map(targets)
     rows = [(r[0],) for r in report(leaf_sums(token_sizes(documents, tokenizer)), goal) if not r[5]]
     return documents.sparkSession.createDataFrame(rows, "source string")

@@ -36,3 +36,12 @@ def test_mixture(spark):
     assert again == {(r.doc_id, r.n_repeats) for r in rows}
     assert {r.source for r in M.short_sources(df, t).collect()} == {"b", "none"}
     assert M.mixture(df.limit(0), t)[0].count() == 0
+
+
+def test_short_sources_come_from_the_tree(monkeypatch):
+    leaves = [(("a", "en", "0"), 100.0), (("a", "fr", "0"), 100.0), (("b", "en", "0"), 10.0), (("x", "en", "0"), 790.0)]
+    goal = {"a": (0.5, 3), "b": (0.4, 2), "c": (0.1, 9), "d": (0.0, 1)}
+    assert M.unplaced(leaves, goal, 1000.0) == pytest.approx({"a": 0, "b": 380, "c": 100, "d": 0})
+    assert {r[0]: r[5] for r in M.report(leaves, goal)} == {"a": True, "b": False, "c": False, "d": True}
+    monkeypatch.setattr(M, "share_out", lambda budget, children: 0.0)
+    assert all(r[5] for r in M.report(leaves, goal))
