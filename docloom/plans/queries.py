@@ -55,6 +55,7 @@ def _records(s: SparkSession, d: str) -> DataFrame:
 QUERIES |= {
     "p3_found": lambda s, d: _records(s, d).select("run_id", "parent_path", "child_path"),
     "p3_line_items": lambda s, d: nested.subtype_table(_records(s, d), "line_item").drop("other"),
+    **{f"p3_{t}s": lambda s, d, t=t: nested.subtype_table(_records(s, d), t) for t in nested.COLUMNS if t != "line_item"},
     "p3_shapes": lambda s, d: nested.shape_counts(_records(s, d)),
 }
 
