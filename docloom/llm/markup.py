@@ -3,11 +3,13 @@
 Code and formulas are taken out first and put back last. The remaining HTML,
 wiki and LaTeX markup is rewritten to Markdown (headings, lists, tables, links,
 emphasis) or stripped, and counted by kind. A line-block distribution over the
-stripped lines then decides what stays: the text lengths of each sliding window
-of lines are summed, a window that rises to ``surge`` opens a span of content,
-one that falls to zero closes it, and lines outside the spans (lines that were
-nothing but markup) go. Headings, lists, tables, code and formulas always count
-as content, and so does any line that holds text after stripping.
+stripped lines follows: the text lengths of each sliding window of lines are
+summed, a window that rises to ``surge`` opens a span of content, a line without
+weight closes it, and lines outside the spans go. Headings, lists, tables, code
+and formulas always count as content, and so does any line that holds text after
+stripping; so with the default ``surge`` of 1 the windows decide nothing: lines
+that were nothing but markup go and all others stay, whatever the window. The
+counts are taken while the markup is rewritten, before the lines are looked at.
 
 Defined results: null text gives null and no counts; empty text stays empty;
 text without residue comes back as it is, line ends included; texts of any

@@ -70,6 +70,13 @@ def test_line_blocks():
     assert line_blocks([], []) == []
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["", "# h", "x", "some text"]), st.booleans()), max_size=30), st.integers(1, 9))
+def test_only_emptied_lines_go(rows, window):
+    lines, lost = [s for s, _ in rows], [gone for _, gone in rows]
+    assert line_blocks(lines, lost, window) == [not gone for gone in lost]
+
+
 @pytest.mark.parametrize(
     "text,clean",
     [
