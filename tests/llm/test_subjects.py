@@ -1,3 +1,4 @@
+import copy
 import random
 
 import numpy as np
@@ -40,7 +41,8 @@ def test_held_out_accuracy():
     wrong = y.copy()
     for i in range(0, 300, 40):
         wrong[i] = np.roll(wrong[i], 1)
-    m = S.fit(texts, ["src"] * 300, wrong, NAMES)
+    spare = [page(*random.choice([[None], [None, None], ["law"]])) for _ in range(200)]
+    m = S.fit(texts, ["src"] * 300, wrong, NAMES, unlabelled=(spare, [None] * 200))
     test, want, _ = labelled(200)
     test += [page(None), page(None, None), "", None, page("law", None, None, None, None, None, None, None, None, None)]
     got, p, _ = S.predict(m, test, [None] * len(test))
@@ -49,6 +51,78 @@ def test_held_out_accuracy():
     assert names[200:] == [[]] * 5 and ((0 < p) & (p <= 1)).all()
 
 
+def planted(shares, n=25):
+    """A page of n sentences, so many of each subject; ``a+b`` puts one term of each into a sentence."""
+    out = []
+    for name, share in shares.items():
+        a, _, b = name.partition("+")
+        for _ in range(round(share * n)):
+            x, y = random.choice(NOUNS[a]), random.choice(NOUNS[b or a])
+            out.append(f"The {x} of Name{random.randrange(50)} was seen by a new {y} in {random.randrange(1800, 2000)}.")
+    out += [sentence(None) for _ in range(n - len(out))]
+    random.shuffle(out)
+    return "'''T''' – " + " ".join(out)
+
+
+def without_chain(m):
+    z = copy.deepcopy(m)
+    for w in z.weights:
+        w[S.chain_columns(len(m.subjects))] = 0
+    return z
+
+
+def test_chain_and_beam_decide():
+    # law and sport mostly come together, each with little text of its own; music comes alone, often with stray law terms
+    texts, y, u = [], [], random.uniform
+    for i in range(800):
+        kind = i % 8
+        if kind < 3:
+            texts.append(planted({"law": u(0.12, 0.4), "sport": u(0.12, 0.4)}))
+            y.append([1, 0, 1])
+        elif kind == 3:
+            texts.append(planted({"music": u(0.35, 0.6), "music+law": u(0.2, 0.35)}))
+            y.append([0, 1, 0])
+        else:
+            one = ("law", "law", "sport", "music")[kind - 4]
+            texts.append(planted({one: u(0.3, 0.9)} | {s: u(0, 0.1) for s in NAMES if s != one}))
+            y.append([s == one for s in NAMES])
+    spare = [planted({random.choice(NAMES): u(0, 0.1)}) for _ in range(100)]
+    m = S.fit(texts, ["s"] * 800, np.array(y, float), NAMES, unlabelled=(spare, [None] * 100))
+    two = [planted({"law": u(0.05, 0.3), "sport": u(0.05, 0.3)}) for _ in range(300)]
+    stray = [planted({"music": 0.5, "music+law": u(0.2, 0.35)}) for _ in range(100)]
+    none = [planted({"law": u(0, 0.05)}) for _ in range(50)]
+    src = ["s"] * 300
+    full, zero = S.predict(m, two, src)[0], S.predict(without_chain(m), two, src)[0]
+    assert (zero != full).any(1).sum() >= 5
+    assert (full[:, 0] & full[:, 2]).sum() > (zero[:, 0] & zero[:, 2]).sum()  # seen together, expected together
+    got = S.predict(m, stray, src[:100])[0]
+    assert got[:, 1].all() and not got[:, 0].any()  # stray law terms are explained by music
+    assert not S.predict(m, none, src[:50])[0].any()
+
+
+def test_beam_takes_back_a_decision():
+    # law alone is a little unlikely, law with sport likely: the best combination starts with the worse first step
+    k, rest = 2, [0.0] * (2 + S.SOURCES)
+    law = np.array([0, 0, 0, 0, 0, 0, *rest, -0.2])
+    sport = np.array([0, 0, 0, 0, 4.6, 0, *rest, 0.0])
+    m = S.Model(["law", "sport"], np.zeros(0, np.uint64), np.zeros(0, np.int64), [0, 1], [law, sport], [(1.0, 0.0)] * k, np.zeros(2), np.ones(2))
+    assert S.predict(m, [page(None)], [None])[0].tolist() == [[True, True]]
+    assert S.predict(m, [page(None)], [None], beam=1)[0][0, 0] == False  # noqa: E712
+    m.weights[1][S.chain_columns(k)] = 0
+    assert S.predict(m, [page(None)], [None])[0][0, 0] == False  # noqa: E712
+
+
+def test_wrong_labels_are_doubted_not_dropped():
+    y, p = np.array([1.0, 1.0, 0.0, 0.0]), np.array([0.99, 0.001, 0.999, 0.01])
+    q = S._true_label(y, p)
+    assert q[0] > 0.99 and q[1] < 0.1 and q[2] > 0.9 and q[3] < 0.01
+
+
+def test_sample_bounds(spark):
+    docs = spark.range(50).selectExpr("id AS doc_id", "repeat('x', 10) AS text", "'s' AS source")
+    assert S._bounded(docs, 20, 1000).count() == 20 and S._bounded(docs, 20, 55).count() == 5 and S._bounded(docs, 20, 3).count() == 1
+
+
 def test_columns(spark):
     texts, y, _ = labelled(120)
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)] + [(500, None, None), (501, "", " ")], "doc_id long, text string, source string").selectExpr("*", "'x' AS subject")
