@@ -102,11 +102,6 @@ def _tree(leaves: list[tuple], targets: dict[str, tuple[float, int]]) -> Node:
     return root
 
 
-def unplaced(leaves: list[tuple], targets: dict[str, tuple[float, int]], total: float) -> dict[str, float]:
-    """Tokens of each listed source's own share that the family below its node cannot take."""
-    return {s: share_out(targets[s][0] * total, list(node.children.values())) for s, node in _tree(leaves, targets).children.items()}
-
-
 def plan(leaves: list[tuple], targets: dict[str, tuple[float, int]], total: float) -> dict[tuple, tuple[float, float]]:
     """Budgets: path -> (tokens, size) of each leaf of listed sources. ``leaves``: (path, size)."""
     root = _tree(leaves, targets)
@@ -138,15 +133,18 @@ def target_map(targets: DataFrame) -> dict[str, tuple[float, int]]:
 
 
 def report(leaves: list[tuple], targets: dict[str, tuple[float, int]]) -> list[tuple]:
-    """(source, weight, max_repeats, size, budget, share_possible) of each listed source.
-    A share is possible if the tree places it, but for what rounding leaves."""
+    """(source, weight, max_repeats, size, budget, reachable) of each listed source.
+
+    The budget is what the plan gives the source's leaves: its own share first and
+    then of what others leave over. So a share is out of reach if the budget falls
+    short of it, but for what rounding leaves.
+    """
     total = sum(x for _, x in leaves)
-    got, rest = plan(leaves, targets, total), unplaced(leaves, targets, total)
-    out = []
-    for s, (w, r) in targets.items():
-        size = float(sum(x for p, x in leaves if p[0] == s))
-        out.append((s, w, r, size, float(sum(b for p, (b, _) in got.items() if p[0] == s)), rest[s] <= 0 or r * size >= w * total))
-    return out
+    budget, size = dict.fromkeys(targets, 0.0), dict.fromkeys(targets, 0.0)
+    for path, (b, n) in plan(leaves, targets, total).items():
+        budget[path[0]] += b
+        size[path[0]] += n
+    return [(s, w, r, size[s], budget[s], budget[s] >= w * total * (1 - 1e-9)) for s, (w, r) in targets.items()]
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -190,7 +188,7 @@ def mixture(documents: DataFrame, targets: DataFrame, seed: int = 7, tokenizer:
 
 
 def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(source): the listed sources whose share the tree cannot place below their node."""
+    """(source): the listed sources whose budget in the plan stays below their share."""
     goal = target_map(targets)
     rows = [(r[0],) for r in report(leaf_sums(token_sizes(documents, tokenizer)), goal) if not r[5]]
     return documents.sparkSession.createDataFrame(rows, "source string")

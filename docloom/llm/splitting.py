@@ -23,19 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrow import map_columns
+from docloom.llm.fences import closers, lines_of
 
 LIMIT, OVERLAP = 3000, 200
-_FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)")
-_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
 _SENTENCE = re.compile(r"[.!?。！？…][\"')\]»”]*\s+|[。！？]")
 _WORD = re.compile(r"\s+")
+_AFTER_SENTENCE = re.compile(r"(?:[.!?。！？…][\"')\]»”]*\s+|[。！？])\Z")
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
     """(start, end) of each block, without the line end that closes it."""
     out, start, end, pos, fence = [], None, 0, 0, None
-    lines = [m.span() for m in _LINE.finditer(text) if m.end() > m.start()]
-    closers = _closers(text, lines)
+    lines = lines_of(text)
+    close = closers(text, lines)
     for k, (a, b) in enumerate(lines):
         bare = text[a:b].rstrip("\r\n")
         if fence is None and not bare.strip():
@@ -47,7 +47,7 @@ def blocks(text: str) -> list[tuple[int, int]]:
             start = a
         end = a + len(bare)
         if fence is None:
-            fence = closers.get(k)
+            fence = close.get(k)
         elif k == fence:
             fence = None
     if start is not None:
@@ -55,27 +55,6 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _closers(text: str, lines: list[tuple[int, int]]) -> dict[int, int]:
-    """Line of each opening fence -> line of its closing fence; unclosed fences have none."""
-    marks = []
-    for k, (a, b) in enumerate(lines):
-        m = _FENCE.match(text, a, b)
-        if m:
-            marks.append((k, m[1][0], len(m[1]), m[2].strip()))
-    out, i = {}, 0
-    while i < len(marks):
-        k, c, n, info = marks[i]
-        if not (c == "`" and "`" in info):
-            for j in range(i + 1, len(marks)):
-                k2, c2, n2, info2 = marks[j]
-                if c2 == c and n2 >= n and not info2:
-                    out[k] = k2
-                    i = j
-                    break
-        i += 1
-    return out
-
-
 def _snap(levels: list[list[int]], lo: int, hi: int, target: int) -> int:
     """The boundary in [lo, hi] of the strongest level that has one, nearest to the target."""
     for cuts in levels:
@@ -154,33 +133,64 @@ def _even(outside: list[int], n: int, limit: int, room: int, count: int) -> list
     return cuts
 
 
-def split_rows(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(id, piece_no, n_pieces, start, length, piece, cut_kind, longest_block).
+#: the boundaries a cut can stand at, strongest first
+STRENGTHS = ("block", "line", "sentence", "word", "character")
+
 
-    ``start`` is the place of the piece's first character in the text, its
-    overlap included. Short texts are filtered in the JVM; only oversized ones
-    reach Python, and redelivered keys are dropped before.
+def cut_places(text: str, cuts: list[int], spans: list[tuple[int, int]]) -> list[tuple[str, int]]:
+    """Of each inner cut: the boundary it stands at and the length of the block it divides (0 between blocks)."""
+    starts, out = [a for a, _ in spans], []
+    for c in cuts[1:-1]:
+        k = bisect.bisect_right(starts, c) - 1
+        a, b = spans[k] if k >= 0 else (c, c)
+        if not a < c < b:
+            out.append(("block", 0))
+            continue
+        before = text[max(a, c - 40) : c]
+        at = "line" if before[-1] in "\r\n" else "sentence" if _AFTER_SENTENCE.search(before) else "word" if before[-1].isspace() else "character"
+        out.append((at, b - a))
+    return out
+
+
+def split_rows(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(id, piece_no, n_pieces, start, length, piece, cut_at, cut_block, cut_kind, longest_block).
+
+    ``start`` is the place of the piece's first character in the text, its overlap
+    included. ``cut_at`` is the boundary where the piece was cut off the one before
+    (null for the first), ``cut_block`` the length of the block which that cut
+    divides, 0 between blocks. ``cut_kind`` tells whether any cut of the text
+    divides a block; ``longest_block`` is a measure of the text. Short texts are
+    filtered in the JVM; only oversized ones reach Python, and redelivered keys are
+    dropped before.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must lie in [0, limit)")
 
     def fn(ids, texts):
-        out = {k: [] for k in (id_col, "piece_no", "n_pieces", "start", "length", "piece", "cut_kind", "longest_block")}
+        out = {k: [] for k in (id_col, "piece_no", "n_pieces", "start", "length", "piece", "cut_at", "cut_block", "cut_kind", "longest_block")}
         for i, t in zip(ids, texts):
             cuts, spans = split_text(t, limit, overlap)
             longest = max((b - a for a, b in spans), default=0)
-            kind = "inside_block" if longest > limit else "between_blocks"
+            places = [(None, 0), *cut_places(t, cuts, spans)]
+            kind = "inside_block" if any(n for _, n in places) else "between_blocks"
             for k in range(len(cuts) - 1):
                 a = max(0, cuts[k] - overlap) if k else 0
-                for name, v in zip(out, (i, k, len(cuts) - 1, a, cuts[k + 1] - a, t[a : cuts[k + 1]], kind, longest)):
+                for name, v in zip(out, (i, k, len(cuts) - 1, a, cuts[k + 1] - a, t[a : cuts[k + 1]], *places[k], kind, longest)):
                     out[name].append(v)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
     big = df.select(id_col, text_col).where(F.char_length(text_col) > limit).dropDuplicates([id_col])
-    return map_columns(big, fn, f"{id_col} {kind}, piece_no int, n_pieces int, start int, length int, piece string, cut_kind string, longest_block int")
+    return map_columns(big, fn, f"{id_col} {kind}, piece_no int, n_pieces int, start int, length int, piece string, cut_at string, cut_block int, cut_kind string, longest_block int")
 
 
 def oversized(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(id, cut_kind): one row for each oversized text, from its first piece."""
-    return split_rows(df, id_col, text_col, limit, overlap).where("piece_no = 0").select(id_col, "cut_kind")
+    """(id, cut_kind): one row for each oversized text, from the cuts made.
+
+    ``inside_block`` if a cut divides a block that is alone longer than the limit.
+    A shorter block may be divided too, where it does not fit behind the overlap
+    (over limit - overlap); that is ``between_blocks`` here and ``inside_block`` in
+    ``split_rows``.
+    """
+    cut = split_rows(df, id_col, text_col, limit, overlap).groupBy(id_col).agg(F.max("cut_block").alias("most"))
+    return cut.select(id_col, F.when(F.col("most") > limit, "inside_block").otherwise("between_blocks").alias("cut_kind"))

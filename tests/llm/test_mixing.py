@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from docloom.llm import mixing as M
@@ -41,7 +43,17 @@ def test_mixture(spark):
 def test_short_sources_come_from_the_tree(monkeypatch):
     leaves = [(("a", "en", "0"), 100.0), (("a", "fr", "0"), 100.0), (("b", "en", "0"), 10.0), (("x", "en", "0"), 790.0)]
     goal = {"a": (0.5, 3), "b": (0.4, 2), "c": (0.1, 9), "d": (0.0, 1)}
-    assert M.unplaced(leaves, goal, 1000.0) == pytest.approx({"a": 0, "b": 380, "c": 100, "d": 0})
     assert {r[0]: r[5] for r in M.report(leaves, goal)} == {"a": True, "b": False, "c": False, "d": True}
-    monkeypatch.setattr(M, "share_out", lambda budget, children: 0.0)
-    assert all(r[5] for r in M.report(leaves, goal))
+    assert {r[0]: r[4] for r in M.report(leaves, goal)} == pytest.approx({"a": 600, "b": 20, "c": 0, "d": 0})
+    monkeypatch.setattr(M, "plan", lambda *a: {})
+    assert {r[0]: r[5] for r in M.report(leaves, goal)} == {"a": False, "b": False, "c": False, "d": True}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_reachable_is_the_inequality(seed):
+    rnd = random.Random(seed)
+    leaves = [((s, la, n), float(rnd.randrange(0, 500))) for s in "abcdex" for la in ("en", "fr", None) for n in "01"]
+    goal = {s: (rnd.choice([0.02, 0.1, 0.2, 0.3]), rnd.randrange(1, 4)) for s in "abcdez"}
+    total = sum(x for _, x in leaves)
+    size = {s: sum(x for p, x in leaves if p[0] == s) for s in goal}
+    assert {r[0]: r[5] for r in M.report(leaves, goal)} == {s: r * size[s] >= w * total for s, (w, r) in goal.items()}
