@@ -54,6 +54,8 @@ def test_reachable_is_the_inequality(seed):
     rnd = random.Random(seed)
     leaves = [((s, la, n), float(rnd.randrange(0, 500))) for s in "abcdex" for la in ("en", "fr", None) for n in "01"]
     goal = {s: (rnd.choice([0.02, 0.1, 0.2, 0.3]), rnd.randrange(1, 4)) for s in "abcdez"}
+    every = sum(w for w, _ in goal.values())
+    goal = {s: (w / every, r) for s, (w, r) in goal.items()}
     total = sum(x for _, x in leaves)
     size = {s: sum(x for p, x in leaves if p[0] == s) for s in goal}
     assert {r[0]: r[5] for r in M.report(leaves, goal)} == {s: r * size[s] >= w * total for s, (w, r) in goal.items()}
