@@ -2,18 +2,23 @@
 
 Code and formulas are taken out first and put back last. The remaining HTML,
 wiki and LaTeX markup is rewritten to Markdown (headings, lists, tables, links,
-emphasis) or stripped, and counted by kind. A line-block distribution over the
-stripped lines follows: the text lengths of each sliding window of lines are
-summed, a window that rises to ``surge`` opens a span of content, a line without
-weight closes it, and lines outside the spans go. Headings, lists, tables, code
-and formulas always count as content, and so does any line that holds text after
-stripping; so with the default ``surge`` of 1 the windows decide nothing: lines
-that were nothing but markup go and all others stay, whatever the window. The
-counts are taken while the markup is rewritten, before the lines are looked at.
+emphasis) or stripped; each piece leaves a mark of its kind at its place, and a
+link's label is marked as such. A line-block distribution over the stripped
+lines follows. A line weighs its text length; labels of links weigh nothing, and
+lines without any mark, code, formulas, list items and table rows with text of
+their own weigh at least ``surge``. The weights of each ``window`` of lines are
+summed: a window that reaches ``surge`` is a surge, windows below it a dive, and
+the text between them stays, but for runs of a window or more without any weight.
+List items and table rows that follow a span belong to it. So menus, rows of
+links and stray remains go where they form runs of their own; short lines beside
+text stay. A text of at most one window is one span. The marks are counted line by
+line in the same pass, over kept and dropped lines; ``p1_found`` reads these
+counts.
 
 Defined results: null text gives null and no counts; empty text stays empty;
 text without residue comes back as it is, line ends included; texts of any
-length are processed whole; an unclosed fence is no code block.
+length are processed whole, in linear time but for templates and links nested in
+each other; an unclosed fence is no code block.
 """
 
 from __future__ import annotations
@@ -26,12 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrow import map_columns
+from docloom.llm.fences import closers, lines_of
 
 KINDS = ("html", "wiki", "latex")
 
+WINDOW, SURGE = 3, 20
+#: private characters: around the number of a held span; residue of each kind; the start of a link's label
+HOLD, *MARKS, LABEL = map(chr, range(0xF0000, 0xF0005))
+_ANY = re.compile(f"[{HOLD}-{LABEL}]")
+_M = f"[{MARKS[0]}-{LABEL}]"  # marks are no text: patterns pass over them
 _PROTECT = re.compile(
-    r"(?P<f>^[ \t]*(?P<tick>`{3,}|~{3,})(?P<info>[^\n]*)\n(?:[^\n]*\n)*?[ \t]*(?P=tick)(?:(?<=`)`*|(?<=~)~*)[ \t]*(?=\n|\Z))"
-    r"|(?P<b>(?<!\\)(?<!`)(?P<run>`+)(?!`)(?:(?!\n[ \t]*\n).)+?(?<!`)(?P=run)(?!`))"
+    r"(?P<b>(?<!\\)(?<!`)(?P<run>`+)(?!`)(?:(?!\n[ \t]*\n).)+?(?<!`)(?P=run)(?!`))"
     r"|(?P<d>(?<!\\)\$\$(?:(?!\$\$).)+?\$\$)"
     r"|(?P<s>(?<![\\$])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\])\$(?![\d$]))",
     re.M | re.S,
@@ -49,10 +59,11 @@ _TAG = re.compile(
     rf"""<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9]*(?::[A-Za-z][\w.-]*)?)(?P<attrs>(?:\s+(?:[A-Za-z_@:][\w.:-]*\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'=<>`]+)|(?:{_BARE})\b))*)\s*/?>""",
     re.I,
 )
-_COMMENT = re.compile(r"<!--.*?-->|<!DOCTYPE[^>]*>|<\?xml[^>]*\?>|<!\[CDATA\[|\]\]>(?=\s*$)", re.S | re.I)
+_DECLARED = re.compile(r"<!DOCTYPE[^<>]*>|<\?xml[^<>]*\?>|<!\[CDATA\[|\]\]>(?=\s*$)", re.S | re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _ATTR = re.compile(r"""([A-Za-z_@:][\w.:-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+))""")
-_DROP_BODY = re.compile(r"<(script|style|ref)\b[^<>]*(?<!/)>.*?</\1\s*>", re.S | re.I)
+_COMMENT, _COMMENT_END = re.compile("<!--"), re.compile("-->")
+_DROP_BODY = {n: (re.compile(rf"<{n}\b[^<>]*(?<!/)>", re.I), re.compile(rf"</{n}\s*>", re.I)) for n in ("script", "style", "ref")}
 
 # fixed values: wiki behaviour switches
 _SWITCH = re.compile(r"__(?:NOTOC|TOC|FORCETOC|NOEDITSECTION|NEWSECTIONLINK|NONEWSECTIONLINK|NOGALLERY|HIDDENCAT|INDEX|NOINDEX|STATICREDIRECT|NOTITLECONVERT|NOCONTENTCONVERT|NOTC|NOCC|DISAMBIG|EXPECTUNUSEDCATEGORY)__")
@@ -60,9 +71,10 @@ _PARAM = re.compile(r"\{\{\{[^{}]*\}\}\}")
 _TEMPLATE = re.compile(r"\{\{[^{}]*\}\}")
 _LINK = re.compile(r"\[\[(?P<t>[^\[\]{}|<>\n]+)(?:\|(?P<l>[^\[\]]*))?\]\]")
 _EXTERNAL = re.compile(r"\[(?P<u>(?:https?|ftp)://[^\s\]]+|mailto:[^\s\]]+)(?:[ \t]+(?P<l>[^\]\n]+))?\](?![(\[:])")
-_WIKI_TABLE = re.compile(r"^[ \t]*\{\|.*?^[ \t]*\|\}", re.M | re.S)
-_WIKI_HEAD = re.compile(r"^[ \t]*(?P<m>={1,6})[ \t]*(?P<t>[^=\s](?:[^\n]*?[^=\s])?)[ \t]*(?P=m)[ \t]*$", re.M)
-_REDIRECT = re.compile(r"^[ \t]*#redirect\b:?[ \t]*", re.M | re.I)
+_TABLE_OPEN, _TABLE_END = (re.compile(rf"^(?:[ \t]|{_M})*{q}", re.M) for q in (r"\{\|", r"\|\}"))
+_TABLE_LINE = re.compile(rf"^(?:[ \t]|{_M})*\{{\|[^\n]*$", re.M)
+_WIKI_HEAD = re.compile(rf"^(?:[ \t]|{_M})*(?P<m>={{1,6}})[ \t]*(?P<t>[^=\s](?:[^\n]*?[^=\s])?)[ \t]*(?P=m)(?:[ \t]|{_M})*$", re.M)
+_REDIRECT = re.compile(rf"^(?:[ \t]|{_M})*#redirect\b:?[ \t]*", re.M | re.I)
 _BOLD5, _BOLD, _ITALIC = (re.compile(rf"(?<![\w']){q}(?=[^\s'])(.+?)(?<=[^\s']){q}(?!')") for q in ("'''''", "'''", "''"))
 _MEDIA = re.compile(r"^:?(?:file|image|datei|fichier|category|kategorie|catégorie)\s*:", re.I)
 
@@ -83,18 +95,63 @@ _HEAD_CMD = {"part": 1, "chapter": 1, "title": 1, "section": 2, "subsection": 3,
 _DROP_CMD = frozenset("label ref eqref pageref autoref cref cite citep citet citeauthor citeyear nocite bibliography bibliographystyle usepackage documentclass author date vspace hspace includegraphics pagestyle thispagestyle setlength input include index".split())
 _WRAP = {"emph": "*", "textit": "*", "it": "*", "textsl": "*", "textbf": "**", "mathbf": "**", "texttt": "`", "verb": "`"}
 _MATH_ENVS = frozenset("equation align gather multline displaymath eqnarray math".split())
-_FORCE = 10**6
+_STRUCTURE = re.compile(r"[ \t]*(?:[-*+] |\d+[.)] |\|)")
+_MD_LINK = re.compile(r"!?\[[^\[\]\n]*\]\([^()\n]*\)|<(?:https?|ftp|mailto):[^<>\n]*>")
+_LABELLED = re.compile(f"{LABEL}[^{LABEL}{MARKS[1]}\n]*{MARKS[1]}")
+_RULE = re.compile(r"[\s|*#`·•»›>/:_-]+")
+
+
+def _hold_code(text: str, held: list[str]) -> str:
+    """Fenced blocks, inline code and formulas become numbered tokens."""
+    if "```" in text or "~~~" in text:
+        lines = lines_of(text)
+        out, pos = [], 0
+        for k, end in closers(text, lines).items():  # in order
+            a, b = lines[k][0], lines[end][1]
+            while b > a and text[b - 1] in "\r\n":
+                b -= 1
+            out += [text[pos:a], _token(text[a:b], held)]
+            pos = b
+        text = "".join(out) + text[pos:]
+    if "`" in text or "$" in text:
+        text = _PROTECT.sub(lambda m: _token(m[0], held), text)
+    return text
+
+
+def _token(what: str, held: list[str]) -> str:
+    held.append(what)
+    return f"{HOLD}{len(held) - 1}{HOLD}"
+
+
+def _restore(text: str, held: list[str]) -> str:
+    if HOLD not in text:
+        return text
+    return _HELD.sub(lambda m: _restore(held[int(m[1])], held), text)
+
 
+_ANY_MARK = re.compile(_M)
+_HELD = re.compile(f"{HOLD}(\\d+){HOLD}")
 
-def _kept(m: re.Match, found: list[str], mark: str) -> str:
-    if m["f"] is not None and m["tick"][0] == "`" and "`" in m["info"]:
-        return m[0]
-    found.append(m[0])
-    return f"{mark}{len(found) - 1}{mark}"
+
+def _marks(text: str, kind: int | None = None) -> str:
+    """The marks of a text that goes, so that they are counted where it stood."""
+    return "".join(c for c in text if c in MARKS) + (MARKS[kind] if kind is not None else "")
+
+
+def _cut(opening: re.Pattern, closing: re.Pattern, text: str, new) -> str:
+    """Replace each span from an opening to the next closing mark; both are searched once."""
+    out, pos = [], 0
+    while m := opening.search(text, pos):
+        end = closing.search(text, m.end())
+        if not end:
+            break
+        out += [text[pos : m.start()], new(text[m.start() : end.end()])]
+        pos = end.end()
+    return "".join(out) + text[pos:]
 
 
 def _cells(row: list[str]) -> str:
-    return "| " + " | ".join(c.strip().replace("\n", " ").replace("|", "\\|") for c in row) + " |"
+    return "| " + " | ".join(_ANY_MARK.sub("", c).strip().replace("\n", " ").replace("|", "\\|") + _marks(c) for c in row) + " |"
 
 
 def _grid(rows: list[list[str]]) -> str:
@@ -106,15 +163,19 @@ def _grid(rows: list[list[str]]) -> str:
     return "\n".join([_cells(rows[0]), "|" + "---|" * n, *map(_cells, rows[1:])])
 
 
-def _html_to_md(text: str, count: list[int]) -> str:
+def _html_to_md(text: str) -> str:
+    html = MARKS[0]
+
     def known(m: re.Match) -> bool:
         n = m["name"].lower()
         return n in _ELEMENTS or (":" in n and n.split(":")[0] not in ("http", "https", "ftp", "mailto", "tel", "urn", "file", "data")) or "=" in m["attrs"]
 
-    text, n = _COMMENT.subn("", text)
-    count[0] += n
-    text, n = _DROP_BODY.subn("", text)
-    count[0] += 2 * n
+    if "<!--" in text:
+        text = _cut(_COMMENT, _COMMENT_END, text, lambda x: html)
+    text = _DECLARED.sub(html, text)
+    if "</" in text:
+        for opening, closing in _DROP_BODY.values():
+            text = _cut(opening, closing, text, lambda x: _marks(x) + html * 2)
     if "<" in text:
         out: list[str] = []
         pos, lists, hrefs, rows, cell_at, cell_pipes = 0, [], [], None, None, False
@@ -132,8 +193,7 @@ def _html_to_md(text: str, count: list[int]) -> str:
         for m in _TAG.finditer(text):
             if not known(m):
                 continue
-            count[0] += 1
-            out.append(text[pos : m.start()])
+            out += [text[pos : m.start()], html]
             pos, name, close = m.end(), m["name"].lower(), bool(m["close"])
             attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m["attrs"])} if name in ("a", "img") else {}
             inside = cell_at is not None
@@ -195,18 +255,17 @@ def _html_to_md(text: str, count: list[int]) -> str:
         def entity(m: re.Match) -> str:
             if m[0][1] != "#" and m[0][1:] not in html5:
                 return m[0]
-            count[0] += 1
             got = _html.unescape(m[0])
-            return " " if got in "\u00a0\u2007\u202f\u00ad\u200b" else got
+            return html + (" " if got in "\u00a0\u2007\u202f\u00ad\u200b" else got)
 
         text = _ENTITY.sub(entity, text)
     return text
 
 
-def _wiki_table(m: re.Match) -> str:
+def _wiki_table(text: str) -> str:
     rows: list[list[str]] = [[]]
-    for line in m[0].split("\n")[1:-1]:
-        s = line.strip()
+    for line in text.split("\n")[1:-1]:
+        s = _ANY_MARK.sub("", line).strip()
         if s.startswith("|-"):
             rows.append([])
         elif s.startswith("|+"):
@@ -216,47 +275,48 @@ def _wiki_table(m: re.Match) -> str:
             rows[-1] += [p.split("|")[-1] if re.match(r"\s*\w+\s*=", p) and "|" in p else p for p in parts]
         elif s and rows[-1]:
             rows[-1][-1] += " " + s
-    return "\n" + _grid(rows) + "\n"
-
+    return _marks(text, 1) + "\n" + _grid(rows) + "\n"
 
-def _wiki_to_md(text: str, count: list[int]) -> str:
-    def tick(rx: re.Pattern, new, t: str) -> str:
-        t, n = rx.subn(new, t)
-        count[1] += n
-        return t
 
+def _wiki_to_md(text: str) -> str:
+    wiki = MARKS[1]
+    gone = lambda m: _marks(m[0], 1)
     if "{{" in text:
-        while True:
-            before = count[1]
-            text = tick(_TEMPLATE, "", tick(_PARAM, "", text))
-            if count[1] == before:
-                break
+        n = 1
+        while n:
+            text, n = _PARAM.subn(gone, text)
+            text, k = _TEMPLATE.subn(gone, text)
+            n += k
     if "[[" in text:
 
         def link(m: re.Match) -> str:
+            got = target_or_label(m)
+            lost = _marks(m[0])[len(_marks(got)) :]
+            return lost + (LABEL + got.replace(wiki, "").replace(LABEL, "") + wiki + wiki * got.count(wiki) if got else wiki)
+
+        def target_or_label(m: re.Match) -> str:
             label = m["l"]
             if _MEDIA.match(m["t"].strip()):
                 keep = label.split("|")[-1].strip() if label and not re.match(r"\s*:?(?:cat|kat)", m["t"], re.I) else ""
                 return "" if keep in ("thumb", "frame", "left", "right", "center", "none") or re.fullmatch(r"\d+px", keep) else keep
             return label.split("|")[-1] if label else m["t"].lstrip(":")
 
-        while True:
-            before = count[1]
-            text = tick(_LINK, link, text)
-            if count[1] == before:
-                break
+        n = 1
+        while n:
+            text, n = _LINK.subn(link, text)
     if "[" in text:
-        text = tick(_EXTERNAL, lambda m: f"[{m['l']}]({m['u']})" if m["l"] else f"<{m['u']}>", text)
+        text = _EXTERNAL.sub(lambda m: (f"[{m['l']}]({m['u']})" if m["l"] else f"<{m['u']}>") + wiki, text)
     if "{|" in text:
-        text = tick(_WIKI_TABLE, _wiki_table, text) if "|}" in text else text
-        text = tick(re.compile(r"^[ \t]*\{\|[^\n]*$", re.M), "", text)
+        text = _cut(_TABLE_OPEN, _TABLE_END, text, _wiki_table)
+        text = _TABLE_LINE.sub(gone, text)
     if "''" in text:
-        text = tick(_ITALIC, r"*\1*", tick(_BOLD, r"**\1**", tick(_BOLD5, r"***\1***", text)))
+        for rx, sign in ((_BOLD5, "***"), (_BOLD, "**"), (_ITALIC, "*")):
+            text = rx.sub(lambda m, s=sign: f"{s}{m[1]}{s}{wiki}", text)
     if "=" in text:
-        text = tick(_WIKI_HEAD, lambda m: "#" * len(m["m"]) + " " + m["t"], text)
+        text = _WIKI_HEAD.sub(lambda m: "#" * len(m["m"]) + " " + m["t"] + wiki + _marks(m[0])[len(_marks(m["t"])) :], text)
     if "__" in text:
-        text = tick(_SWITCH, "", text)
-    return tick(_REDIRECT, "", text)
+        text = _SWITCH.sub(gone, text)
+    return _REDIRECT.sub(gone, text)
 
 
 def _closing(text: str, i: int) -> int:
@@ -268,7 +328,7 @@ def _closing(text: str, i: int) -> int:
     return i
 
 
-def _hold_math(text: str, count: list[int], held: list[str], mark: str) -> str:
+def _hold_math(text: str, held: list[str]) -> str:
     """LaTeX's own formula marks become dollar signs, and the formulas are held out.
 
     A formula ends at the closing mark of its kind before the next blank line and
@@ -292,15 +352,15 @@ def _hold_math(text: str, count: list[int], held: list[str], mark: str) -> str:
         a, end = m.end(), following("\\)" if m[0] == "\\(" else "\\]", m.end())
         if end == len(text) or following("blank", a) < end or following("sign", a) >= end or p < len(paths) and paths[p][0] <= m.start():
             continue
-        body = re.sub(f"{mark}(\\d+){mark}", lambda k: held[int(k[1])], text[a:end].strip())
-        held.append("$" + re.sub(r"\s*\n\s*", " ", body) + "$" if m[0] == "\\(" else f"$${body}$$")
-        out += [text[pos : m.start()], f"{mark}{len(held) - 1}{mark}"]
+        body = _ANY_MARK.sub("", _restore(text[a:end].strip(), held))
+        token = _token("$" + re.sub(r"\s*\n\s*", " ", body) + "$" if m[0] == "\\(" else f"$${body}$$", held)
+        out += [text[pos : m.start()], token, _marks(text[a:end], 2)]
         pos = end + 2
-        count[2] += 1
     return "".join(out) + text[pos:]
 
 
-def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
+def _latex_to_md(text: str, depth: int = 0) -> str:
+    latex, found = MARKS[2], False
     out, pos, envs, paths = [], 0, [], [m.span() for m in _PATH.finditer(text)] if "\\" in text else []
     p = 0
     while m := _LATEX.search(text, pos):
@@ -315,7 +375,7 @@ def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
         if m["cmd"] and (m.start() and text[m.start() - 1].isalnum() and _PATH.match(text, m.start())):
             out.append(m[0])
             continue
-        count[2] += 1
+        found = True
         if m["env"]:
             name = m["name"].rstrip("*")
             if m["env"] == "begin" and name in ("tabular", "array", "tabularx", "longtable"):
@@ -323,7 +383,7 @@ def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
                 body = text[pos : end.start() if end else len(text)]
                 pos = end.end() if end else len(text)
                 rows = [re.split(r"(?<!\\)&", re.sub(r"\\(?:hline|toprule|midrule|bottomrule)\b", "", r)) for r in re.split(r"\\\\(?:\[[^\]]*\])?", body)]
-                out.append("\n" + _grid([[_latex_to_md(c, count, depth + 1) if depth < 20 else c for c in r] for r in rows if "".join(r).strip()]) + "\n")
+                out.append("\n" + _grid([[_latex_to_md(c, depth + 1) if depth < 20 else c for c in r] for r in rows if "".join(r).strip()]) + "\n")
             elif name in _MATH_ENVS:
                 out.append("$$")
             else:
@@ -338,14 +398,14 @@ def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
             body = text[pos : end - 1 if text[end - 1 : end] == "}" else end]
             pos = end
             if name in _DROP_CMD:
-                out[-1] = out[-1].rstrip("~")
+                out[-1] = out[-1].rstrip("~") + _marks(body)
             else:
-                body = _latex_to_md(body, count, depth + 1) if depth < 20 and "\\" in body else body
+                body = _latex_to_md(body, depth + 1) if depth < 20 and "\\" in body else body
                 if name in ("href", "textcolor", "colorbox") and text[pos : pos + 1] == "{":
                     end = _closing(text, pos + 1)
                     label = text[pos + 1 : end - 1]
                     pos = end
-                    out.append(f"[{label}]({body})" if name == "href" else label)
+                    out.append(f"[{label}]({_ANY_MARK.sub('', body)})" + _marks(body) if name == "href" else label + _marks(body))
                 elif name in _HEAD_CMD:
                     out.append("\n" * (not _at_line(out)) + "#" * _HEAD_CMD[name] + " " + body + "\n" * (text[pos : pos + 1] not in ("\n", "")))
                 elif name == "footnote":
@@ -363,94 +423,146 @@ def _latex_to_md(text: str, count: list[int], depth: int = 0) -> str:
                 out.append("…")
             elif b in ("LaTeX", "TeX"):
                 out.append(b)
-            elif text[pos : pos + 1] == " " and (out[-1].endswith("{") or _at_line(out)):
+            elif text[pos : pos + 1] == " " and (_last(out).endswith("{") or _at_line(out)):
                 pos += 1
         elif m["br"]:
             out.append("\n" if text[pos : pos + 1] not in ("\n", "") else "")
         else:
             out.append("%" if m["sp"][1] == "%" else " ")
+        out.append(latex)
     out.append(text[pos:])
     text = "".join(out)
-    if count[2]:
+    if found or depth == 0 and latex in text:
         text = re.sub(r"(?<![\\${])\{([^{}\n\\]+)\}(?!\})", r"\1", text) if "{" in text else text
         text = re.sub(r"(?<=\w)~(?=[\w(])", " ", text)
     return text
 
 
 def _at_line(out: list[str]) -> bool:
+    last = _last(out)
+    return not last or last.endswith("\n")
+
+
+def _last(out: list[str]) -> str:
+    """The last part with any text, without the marks at its end."""
     for part in reversed(out):
-        if part:
-            return part.endswith("\n")
-    return True
+        if part := part.rstrip(_MARK_CHARS):
+            return part
+    return ""
 
 
-def line_blocks(lines: list[str], lost: list[bool], window: int = 3, surge: int = 1) -> list[bool]:
-    """Line-block distribution: which lines stay.
+_MARK_CHARS = "".join(MARKS) + LABEL
 
-    ``lost`` marks lines that stripping left without text. A line weighs its
-    text length; structure (headings, list items, table rows, held code and
-    formulas) and blank lines of the source weigh enough to surge by
-    themselves, so only runs of emptied lines lie between a dive and a surge.
+
+def line_blocks(weights: list[int], follows: list[bool] | None = None, window: int = WINDOW, surge: int = SURGE) -> list[bool]:
+    """Line-block distribution: which lines lie between a surge and a dive point.
+
+    A span is a run of windows whose sums reach ``surge``; a window's length or more
+    of lines without weight are no part of it, but lines that may follow
+    (``follows``) directly after a span belong to it. A text of at most one window
+    is one span.
     """
-    weight = [0 if gone else _FORCE if not s or s[0] in "#-*|>$" else len(s) for s, gone in zip(lines, lost)]
-    sums, run = [], 0
-    for i, w in enumerate(weight):
-        run += w - (weight[i - window] if i >= window else 0)
-        sums.append(run)  # the window that ends at line i
-    keep, inside = [], False
-    for i, w in enumerate(weight):
-        if not inside and sums[min(i + window - 1, len(sums) - 1)] >= surge and w:
-            inside = True  # surge point
-        elif inside and not w:
-            inside = False  # dive point
-        keep.append(inside)
+    n = len(weights)
+    if n <= window:
+        return [True] * n
+    keep, run, inside = [False] * n, sum(weights[:window]), 0
+    for i in range(n - window + 1):
+        if i:
+            run += weights[i + window - 1] - weights[i - 1]
+        if run >= surge:
+            for j in range(max(i, inside), i + window):
+                keep[j] = True
+            inside = i + window
+    # surge and dive points: runs of lines without weight at the edges of a span are no part of it
+    i = 0
+    while i < n:
+        j = i
+        while j < n and not weights[j]:
+            j += 1
+        if j - i >= window:
+            after = i > 0 and keep[i - 1]
+            for k in range(i, j):
+                if not (after and follows and follows[k]):
+                    after = False
+                keep[k] = after
+        i = max(j, i + 1)
+    for i in range(1, n):
+        if follows and follows[i] and keep[i - 1]:
+            keep[i] = True
     return keep
 
 
-def clean_text(text: str | None, window: int = 3, surge: int = 1) -> tuple[str | None, list[int]]:
+def _weigh(line: str, touched: bool, surge: int) -> int:
+    """Text length of a stripped line outside the labels of links."""
+    if not touched:
+        return max(len(line), surge)
+    text = _ANY_MARK.sub("", _MD_LINK.sub("", _LABELLED.sub("", line)))
+    n = len(_RULE.sub("", text))
+    return max(n, surge) if n and (HOLD in text or _STRUCTURE.match(text)) else n
+
+
+def clean_text(text: str | None, window: int = WINDOW, surge: int = SURGE) -> tuple[str | None, list[int]]:
     """Clean Markdown and the residue found: [html, wiki, latex]."""
+    got, count, _ = clean_lines(text, window, surge)
+    return got, count
+
+
+def clean_lines(text: str | None, window: int = WINDOW, surge: int = SURGE) -> tuple[str | None, list[int], int]:
+    """Clean Markdown, the residue found by kind, and the number of lines that were dropped."""
     count = [0, 0, 0]
     if not text or not any(x in text for x in _SIGNS):
-        return text, count
+        return text, count, 0
     work = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
-    mark = next(c for c in map(chr, range(0xF0000, 0xF1000)) if c not in work)
     held: list[str] = []
-    if "`" in work or "~~~" in work or "$" in work:
-        work = _PROTECT.sub(lambda m: _kept(m, held, mark), work)
-    before = work
-    work = _html_to_md(work, count)
+    if _ANY.search(work):
+        work = _ANY.sub(lambda m: _token(m[0], held), work)
+    work = before = _hold_code(work, held)
+    work = _html_to_md(work)
     if "\\(" in work or "\\[" in work:
-        work = _hold_math(work, count, held, mark)
-    work = _wiki_to_md(_latex_to_md(work, count), count)
-    if not any(count):
-        return text, count
+        work = _hold_math(work, held)
+    work = _wiki_to_md(_latex_to_md(work) if "\\" in work else work)
+    if not _ANY_MARK.search(work):
+        return text, count, 0
     own = {s.strip() for s in before.split("\n")}
-    lines = work.split("\n")
-    lost = [not s.strip(" \t*`#|-") and s.strip() not in own and not s.startswith("|---") for s in lines]
-    keep = line_blocks(lines, lost, window, surge)
-    work = re.sub(r"\n{3,}", "\n\n", "\n".join(s.rstrip() for s, k in zip(lines, keep) if k)).strip("\n")
-    if held:
-        work = re.sub(f"{mark}(\\d+){mark}", lambda m: held[int(m[1])], work)
-    return work, count
-
-
-def clean_markup(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", window: int = 3, surge: int = 1) -> DataFrame:
-    """(id, clean_text, n_html, n_wiki, n_latex), a row for each input row.
+    lines, weights, follows, places, dropped = [], [], [], [], 0
+    for s in work.split("\n"):
+        bare = _ANY_MARK.sub("", s) if (touched := bool(_ANY_MARK.search(s))) else s
+        if touched:
+            for k, c in enumerate(MARKS):
+                count[k] += s.count(c)
+        if not bare.strip(" \t*`#|-") and bare.strip() not in own and not bare.startswith("|---"):
+            dropped += bool(touched)
+            continue  # nothing but markup
+        if bare.strip():
+            places.append(len(lines))
+            weights.append(_weigh(s, touched, surge))
+            follows.append(bool(_STRUCTURE.match(bare)))
+        lines.append(bare.rstrip())
+    for i, keep in zip(places, line_blocks(weights, follows, window, surge)):
+        if not keep:
+            lines[i] = None
+            dropped += 1
+    work = re.sub(r"\n{3,}", "\n\n", "\n".join(s for s in lines if s is not None)).strip("\n")
+    return _restore(work, held), count, dropped
+
+
+def clean_markup(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", window: int = WINDOW, surge: int = SURGE) -> DataFrame:
+    """(id, clean_text, n_html, n_wiki, n_latex, n_dropped), a row for each input row.
 
     One narrow pass: no shuffle, nothing collected. Rows of a redelivered key
     give equal rows; the caller dedupes what it keeps.
     """
 
     def fn(ids, texts):
-        got = [clean_text(t, window, surge) for t in texts]
-        return {id_col: ids, "clean_text": [g[0] for g in got], **{f"n_{k}": [g[1][i] for g in got] for i, k in enumerate(KINDS)}}
+        got = [clean_lines(t, window, surge) for t in texts]
+        return {id_col: ids, "clean_text": [g[0] for g in got], **{f"n_{k}": [g[1][i] for g in got] for i, k in enumerate(KINDS)}, "n_dropped": [g[2] for g in got]}
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, clean_text string, n_html int, n_wiki int, n_latex int")
+    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, clean_text string, n_html int, n_wiki int, n_latex int, n_dropped int")
 
 
 def residue_kinds(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown") -> DataFrame:
-    """(id, kind): one row for each id and kind of markup the cleaner removed."""
+    """(id, kind): one row for each id and kind of markup the cleaner counted in its lines."""
     found = clean_markup(df, id_col, text_col).where("n_html + n_wiki + n_latex > 0")
     kinds = F.array(*[F.when(F.col(f"n_{k}") > 0, F.lit(k)) for k in KINDS])
     return found.select(id_col, F.explode(F.array_compact(kinds)).alias("kind")).distinct()

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.llm.markup import clean_markup, clean_text, line_blocks, residue_kinds
+from docloom.llm.markup import clean_lines, clean_markup, clean_text, line_blocks, residue_kinds
 
 PLAIN = [
     "See <https://a.invalid/x> or <me@b.invalid>.",
@@ -65,16 +65,67 @@ def test_code_is_kept():
 
 
 def test_line_blocks():
-    lines = ["", "# h", "x", "", "y"]
-    assert line_blocks(lines, [True, False, True, True, False]) == [False, True, False, False, True]
-    assert line_blocks([], []) == []
+    w = [0, 0, 0, 4, 40, 9, 0, 0, 0, 0, 5, 3, 4, 60]
+    assert line_blocks(w, window=3, surge=20) == [False] * 3 + [True] * 3 + [False] * 5 + [True] * 3
+    assert line_blocks(w, window=3, surge=70) == [False] * 14  # another surge
+    assert line_blocks(w, window=6, surge=20) == [True] * 14  # another window
+    assert line_blocks([], []) == [] and line_blocks([0, 0, 0]) == [True] * 3
+    assert line_blocks([30, 0, 0, 0, 0], [False, True, True, False, True]) == [True, True, True, False, False]
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from(["", "# h", "x", "some text"]), st.booleans()), max_size=30), st.integers(1, 9))
-def test_only_emptied_lines_go(rows, window):
-    lines, lost = [s for s, _ in rows], [gone for _, gone in rows]
-    assert line_blocks(lines, lost, window) == [not gone for gone in lost]
+@given(st.lists(st.sampled_from([0, 1, 7, 25]), max_size=30), st.integers(1, 6), st.integers(1, 40))
+def test_line_blocks_against_windows(w, window, surge):
+    n = len(w)
+    got = line_blocks(w, None, window, surge)
+    if n <= window:
+        assert got == [True] * n
+        return
+    for i in range(n):
+        full = any(sum(w[j : j + window]) >= surge for j in range(max(0, i - window + 1), min(i, n - window) + 1))
+        a, b = i, i
+        while a > 0 and not w[a - 1]:
+            a -= 1
+        while b < n and not w[b]:
+            b += 1
+        assert got[i] == (full and not (w[i] == 0 and b - a >= window))
+
+
+MENU = "".join(f'<div><a href="/{x}">{x}</a> | [[{x}|{x} page]]</div>\n' for x in ("home", "news", "shop", "help", "login"))
+ARTICLE = "<h2>Pumps</h2>\n<p>The <b>pump</b> in hall three was checked twice last week.</p>\n<ul><li>x<li>y<li>z</ul>\n<p>n</p>\n\n```\n<a>\n```\n\n$x<y$\n\n<p>It was sealed again.</p>\n"
+
+
+def test_menus_go_and_the_article_stays():
+    got, n, dropped = clean_lines(MENU + ARTICLE + MENU)
+    assert "home" not in got and "login" not in got and dropped >= 10
+    for part in ("## Pumps", "The **pump** in hall", "- x\n- y\n- z", "```\n<a>\n```", "$x<y$", "It was sealed again.", "\nn\n"):
+        assert part in got
+    assert n[0] == clean_text(MENU)[1][0] * 2 + clean_text(ARTICLE)[1][0] and n[1] == 10  # counted in dropped lines too
+    assert clean_text(MENU)[0] == "" and clean_text(MENU, window=9)[0] != ""
+    assert clean_text(MENU + ARTICLE + MENU, surge=1)[0] == got  # rows of links weigh nothing
+    notes = "".join(f"<p>{x}</p>\n" for x in "abcdefgh")
+    assert clean_text(notes)[0] == "" and clean_text(notes, surge=2)[0].split() == list("abcdefgh")
+
+
+@pytest.mark.parametrize("unit", ["<!-- a\n", "<ref>x\n", "~~~\n", "{|\n| a\n", "<script>", "[[a\n", "{{a\n", "```` x\n", "<!DOCTYPE ", "\\emph{", "\\[", "$$ ", "<b"])
+def test_unclosed_marks_take_linear_time(unit):
+    import time
+
+    def took(n):
+        best = 9.0
+        for _ in range(3):
+            t = time.perf_counter()
+            clean_text("-->|}\n</ref>\n" + unit * n)
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    took(500)
+    assert took(8000) <= 2.6 * took(4000) + 0.05
+
+
+def test_private_characters_stay():
+    t = "".join(map(chr, range(0xF0000, 0xF0008))) + " <b>x</b> `\U000f0001` \U000f00001\U000f0000"
+    assert clean_text(t)[0] == t.replace("<b>", "**").replace("</b>", "**")
 
 
 @pytest.mark.parametrize(
