@@ -2,11 +2,13 @@
 
 A transducer over grapheme clusters: rules for full-width forms, characters
 without width, no-break spaces and look-alike letters are combined with the
-canonical composition of accents into one precomputed mapping, which is checked
-for conflicts (one input, two outputs; outputs that would change again) and
-compiled into one pattern. A text is rewritten in one left-to-right pass by
-longest match; clusters outside the rules are untouched, and a text without
-any rule character is returned without a pass.
+decomposition of accented letters into one mapping of characters, and the
+composition of letters and accents is a table of pairs; both are computed once,
+checked for conflicts (one input, two outputs; outputs that would change again)
+and compiled into one pattern. A text is rewritten in one left-to-right pass by
+longest match: of a cluster each character is mapped, its accents are put in
+order and composed from the pairs. Clusters outside the rules are untouched, and
+a text without any rule character is returned without a pass.
 
 Accents are composed within the Basic Multilingual Plane.
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrow import map_columns
+from docloom.plans.session import materialise
 
 # fixed values: Cyrillic and Greek letters shaped like Latin ones
 LOOKALIKES = {
@@ -58,7 +61,21 @@ class Transducer:
         for k, v in table.items():
             if any(c in table for c in v):
                 raise ValueError(f"not final: {k!r} gives {v!r}, which changes again")
-        self.single = {ord(k): v for k, v in table.items()}
+        # the precomputed mapping: characters to rule output and bare letters, accents' order, pairs to composed letters
+        self.full, self.order, self.pair = dict(table), {}, {}
+        for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)]):
+            if k := unicodedata.combining(c):
+                self.order[c] = k
+            kind = unicodedata.decomposition(c)
+            if kind and kind[0] != "<":
+                if c not in table:
+                    self.full[c] = "".join(table.get(x, x) for x in unicodedata.normalize("NFD", c))
+                two = [chr(int(x, 16)) for x in kind.split()]
+                if len(two) == 2 and unicodedata.normalize("NFC", c) == c and self.pair.setdefault(tuple(two), c) != c:
+                    raise ValueError(f"conflict: {two!r} gives {self.pair[tuple(two)]!r} and {c!r}")
+        for v in self.full.values():
+            if any(self.full.get(x, x) != x for x in v):
+                raise ValueError(f"not final: {v!r} changes again")
         # a composed letter that takes part: its canonical form differs from itself, or its base is a rule's
         composed, marks = [], []  # beyond the BMP, Python tests classes one range after another
         for c in map(chr, [*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x10000)]):
@@ -75,7 +92,7 @@ class Transducer:
         self.sign = re.compile(f"[{rare}{mark}{jamo}]")  # any match holds one
         self.joining = re.compile(f"[{mark}{jamo}]")  # without one, every cluster is one character
         self.runs = re.compile(f"[{rare}]+")
-        self.clusters = re.compile(f"[^{mark}{w}](?:[{w}]*[{mark}])+|[{mark}][{w}{mark}]*|[{rare}][{w}]*|[\u1100-\u115f][{w}\u1160-\u11ff]+")
+        self.clusters = re.compile(f"[^{mark}{w}](?:[{w}]*[{mark}])+|[{mark}][{w}{mark}]*|[{rare}][{w}]*|[\u1100-\u115f\uac00-\ud7a3][{w}\u1160-\u11ff]+")
         self.cluster = lru_cache(maxsize=65536)(self._cluster)
 
     @staticmethod
@@ -92,7 +109,38 @@ class Transducer:
         return "".join(out)
 
     def _cluster(self, s: str) -> str:
-        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s.translate(self.single)).translate(self.single))
+        """Map, put accents in order, compose."""
+        flat = [x for c in s for x in self.full.get(c, c)]
+        i = 0
+        while i < len(flat):
+            j = i
+            while j < len(flat) and flat[j] in self.order:
+                j += 1
+            flat[i:j] = sorted(flat[i:j], key=self.order.__getitem__)
+            i = j + 1
+        out: list[str] = []
+        base, last = -1, 0
+        for c in flat:
+            k = self.order.get(c, 0)
+            # an accent meets its letter unless one of the same or a higher order stands between
+            if base >= 0 and (last < k or len(out) == base + 1):
+                if got := self._joined(out[base], c):
+                    out[base] = got
+                    continue
+            out.append(c)
+            last = k
+            if not k:
+                base, last = len(out) - 1, 0
+        return "".join(out)
+
+    def _joined(self, a: str, b: str) -> str | None:
+        """Two characters in one, by the table or, for Hangul, by its rule."""
+        x, y = ord(a), ord(b)
+        if 0x1100 <= x < 0x1113 and 0x1161 <= y < 0x1176:
+            return chr(0xAC00 + ((x - 0x1100) * 21 + y - 0x1161) * 28)
+        if 0xAC00 <= x < 0xD7A4 and (x - 0xAC00) % 28 == 0 and 0x11A7 < y < 0x11C3:
+            return chr(x + y - 0x11A7)
+        return self.pair.get((a, b))
 
     def __call__(self, text: str | None) -> str | None:
         if not text or text.isascii() or not self.sign.search(text):
@@ -145,20 +193,39 @@ def lookalike_classes(df: DataFrame, id_col: str = "conv_id", columns: tuple[str
     return map_columns(df.select(id_col, *columns), fn, f"{id_col} {kind}, field_name string, form binary, raw binary").distinct()
 
 
+#: rows of one class that a task of the expansion takes; a class is hot beyond it and beyond this share of all rows
+CLASS_ROWS, HOT_PART = 50_000, 100_000
+
+
 def lookalike_pairs(df: DataFrame, id_col: str = "conv_id", columns: tuple[str, ...] = ("title", "markdown")) -> DataFrame:
     """Pairs of rows whose field looks the same but holds other characters.
 
-    Copies with the same characters form one class; only pairs of different
-    classes of one form are joined, then expanded to their members, so a text
-    repeated in a third of all rows costs one row until a true pair needs it.
+    The texts are mapped once and written as digests. Rows with the same characters
+    are one class; classes are joined, not rows: of each form with several
+    classes their pairs. These are expanded to members, the smaller class first, so
+    that its few rows meet the larger one. A hot class is split by a hash of the
+    id: over ``CLASS_ROWS`` rows and over 1 / ``HOT_PART`` of all rows, so there are
+    at most HOT_PART of them and their list can be broadcast.
     """
-    rows = lookalike_classes(df, id_col, columns)
-    variants = rows.groupBy("field_name", "form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("field_name", "form")
-    mixed = rows.join(variants, ["field_name", "form"], "left_semi")
-    a = mixed.select(F.col(id_col).alias("a"), "field_name", "form", F.col("raw").alias("ra"))
-    b = mixed.select(F.col(id_col).alias("b"), "field_name", "form", F.col("raw").alias("rb"))
-    pairs = a.join(b, ["field_name", "form"]).where("ra <> rb and a <> b").select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"), "field_name")
-    return pairs.distinct()
+    rows = materialise(lookalike_classes(df, id_col, columns), "forms")
+    key = ["field_name", "form"]
+    classes = materialise(rows.groupBy(*key, "raw").agg(F.count("*").alias("n")), "form_classes")
+    n = classes.agg(F.sum("n")).first()[0] or 0
+    most = max(CLASS_ROWS, n // HOT_PART)
+    parts = F.ceil(F.col("n") / most)
+    several = classes.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").select(*key)
+    mixed = classes.join(several, key, "left_semi")
+    x, y = mixed.select(*key, F.col("raw").alias("ra"), F.col("n").alias("na")), mixed.select(*key, F.col("raw").alias("rb"), F.col("n").alias("nb"))
+    # each pair of classes once, the smaller one as ra
+    pairs = x.join(y, key).where("na < nb or (na = nb and ra < rb)").select("field_name", "ra", "rb", F.ceil(F.col("na") / most).alias("pa"), F.ceil(F.col("nb") / most).alias("pb"))
+    hot = classes.where(F.col("n") > most).select(F.col("field_name").alias("f"), F.col("raw").alias("h"), parts.alias("parts"))
+    salt = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col), "parts"))
+    members = rows.join(F.broadcast(hot), (F.col("field_name") == F.col("f")) & (F.col("raw") == F.col("h")), "left").select(id_col, "field_name", "raw", salt.cast("int").alias("salt"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c).cast("int") - 1)).alias("salt")
+    a = pairs.select("field_name", F.col("ra").alias("raw"), "rb", "pb", each("pa")).join(members, ["field_name", "raw", "salt"])
+    a = a.select("field_name", F.col("rb").alias("raw"), F.col(id_col).alias("a"), each("pb"))
+    b = a.join(members.withColumnRenamed(id_col, "b"), ["field_name", "raw", "salt"]).where("a <> b")
+    return b.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b"), "field_name").distinct()
 
 
 def lookalike_report(df: DataFrame, id_col: str = "conv_id", columns: tuple[str, ...] = ("title", "markdown")) -> DataFrame:

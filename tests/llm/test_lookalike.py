@@ -4,11 +4,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from docloom.llm.lookalike import LOOKALIKES, Transducer, canonical, lookalike_pairs, lookalike_report, transducer
+from docloom.llm import lookalike
+from docloom.llm.lookalike import LOOKALIKES, Transducer, canonical, lookalike_pairs, lookalike_report, rules, transducer
 
 
 def reference(t):
-    s = transducer().single
+    s = {ord(k): v for k, v in rules().items()}
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", t.translate(s)).translate(s))
 
 
@@ -39,3 +40,31 @@ def test_pairs(spark):
     assert got == {(1, 2, "title"), (1, 3, "title"), (2, 3, "title"), (2, 5, "title"), (3, 5, "title"), (6, 7, "markdown")}
     assert lookalike_pairs(df.limit(0)).count() == 0
     assert {(r.field_name, r.n_variants, r.n_rows) for r in lookalike_report(df).collect()} == {("title", 3, 4), ("markdown", 2, 2)}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="aeAoO\u0300\u0301\u0323\u0327\u0345\u0308é\u1ec7\u212b\u0410\u0439\u1100\u1161\u11a8\uac00\u200b\u00ad\uff21 ", max_size=12))
+def test_composition_is_the_standard_one(text):
+    t = transducer()
+    single = {ord(k): v for k, v in rules().items()}
+    want = unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(single)).translate(single))
+    assert t._cluster(text) == want and t(text) == want
+
+
+def test_every_composed_letter():
+    t = transducer()
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x10000)]):
+        d = unicodedata.normalize("NFD", c)
+        if d != c and all(x not in rules() for x in d):
+            assert t._cluster(c) == t._cluster(d) == unicodedata.normalize("NFC", c)
+
+
+def test_hot_form(spark, monkeypatch):
+    # one title in a third of all rows and one row of another spelling: as many pairs as rows
+    monkeypatch.setattr(lookalike, "CLASS_ROWS", 700)
+    n = 6000
+    df = spark.range(n).selectExpr("id AS conv_id", "CASE WHEN id = 5 THEN 'hot\u00a0title' WHEN id % 3 = 0 THEN 'hot title' WHEN id = 7 THEN 'hot title\u200b' ELSE 't' || id END AS title", "null AS markdown")
+    df = df.selectExpr("conv_id", "title", "cast(markdown AS string) AS markdown")
+    got = {(r.conv_id_a, r.conv_id_b) for r in lookalike_pairs(df.union(df)).collect()}
+    third = [i for i in range(n) if i % 3 == 0]
+    assert got == {tuple(sorted((i, j))) for i in third for j in (5, 7)} | {(5, 7)}
