@@ -6,7 +6,7 @@ do). In the metric of symmetric difference two fingerprints within radius
 2 * (WIDTH - CORE) share at least CORE hashes, and the midpoint between them lies
 within half the radius of both: a fingerprint emits sets that it reaches by
 dropping WIDTH - CORE of its hashes. Similar texts share many hashes, and some
-two of these stand close together in both, so of the pairs only those at most
+of these stand close together in both, so of the sets of two only those at most
 ``REACH`` ranks apart are emitted. These variants are shuffled, equal ones meet,
 the colliding pairs are deduplicated and each is verified on the full shingle
 sets. Pairs whose sizes or whose 128 two-bit minhashes are too far apart are
@@ -16,17 +16,24 @@ A binary fingerprint was computed first: at the lowest true similarity (0.58)
 one minhash bit differs with probability 0.21, so 64 bits need radius 20 and
 half of it has 10^11 variants; the ball over sets of hashes needs 45.
 
+Variants that many texts emit. The variants are counted; one of more than ``WIDE``
+texts is replaced by its extensions, sets with one hash more from the next
+``FURTHER`` ranks (a smaller radius for crowded places), level by level up to
+``LEVELS`` hashes or the end of the fingerprint, where it stays. So the pairs that
+collide grow with the texts, not with their square, whatever the size of the
+collection; which variants are wide is known from 2 MB of flags.
+
 Frequent shingles (stock phrases) are recognised by counters over all texts
-(one row of 2^20, so a bounded broadcast of 128 KB of flags). They stay out of
-the fingerprint of a text where they are at most ``SMALL_SHARE`` of a large set;
-in any other text they count as all shingles do, since leaving them out would
-compare much less than the similarity does.
+(one row of 2^20, so a bounded broadcast of 128 KB of flags). Let f and g be the
+shares of frequent shingles in two texts' sets. At a similarity of 1/2 or more a
+quarter of the larger set or more is common and not frequent, and so are some six
+hashes of the fingerprints, unless one share is at least 1/4 and the other at
+least 5/12. So variants of frequent hashes alone are emitted only by texts with a
+share of 1/4, and those below 5/12 meet only those above. A set of one shingle and one of two are
+found by their single hashes, the smaller set on one side of the join.
 
 Texts with the same shingle set form one class and one member stands for it;
-pairs are found between classes and expanded at the end. Sets of up to WIDTH
-shingles lose no pair. Of larger ones a simulation (12,000 pairs a case, frequent
-shingles none, 3 % or 48 %) misses at most 0.01 % at similarity 0.58 and 0.09 %
-at 0.50; the worst case is one set inside the other.
+pairs are found between classes and expanded at the end.
 
 Defined results: null, empty and texts of fewer than three words have no
 shingle and no partner; redelivered rows count once; input ids are unique but
@@ -40,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrow import map_columns
@@ -49,15 +56,14 @@ from docloom.llm.lookalike import canonical
 from docloom.plans.session import materialise
 
 WIDTH, CORE, REACH, SHINGLE = 24, 2, 2, 3
-COUNTERS = 1 << 20
+#: a variant of more texts is extended, by one of so many next ranks, to at most so many hashes
+WIDE, FURTHER, LEVELS = 200, 3, 6
+COUNTERS, FLAGS = 1 << 20, 1 << 24
 #: a shingle in more than this share of the texts (and more than HOT_LEAST texts) is frequent
-HOT_SHARE, HOT_LEAST, FEW = 0.002, 64, 24
-#: frequent shingles are left out of a fingerprint up to this share of the set
-SMALL_SHARE = 1 / 32
+HOT_SHARE, HOT_LEAST = 0.002, 64
 SIGNATURE = ("s0", "s1", "s2", "s3")
 _BLOCK = 1 << 12
-#: ids that may be broadcast (8 bytes each); beyond it they are joined by a shuffle
-MOST_BROADCAST = 1_000_000
+_STEP, _ASIDE, _ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
 def _sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,9 +105,12 @@ def frequent_slots(df: DataFrame, text_col: str = "markdown") -> tuple[bytes, in
 
 
 def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(id, cls, fp, s0 to s3, n): class digest of the shingle set, its
-    fingerprint, 128 two-bit minhashes and its size."""
+    """(id, cls, fp, hot, stock, s0 to s3, n, s): class digest of the shingle set, its
+    fingerprint with a bit for each frequent hash, how many of 1/4 and 5/12 the share
+    of its frequent shingles reaches, 128 two-bit minhashes, its size
+    and the set itself as 32-bit hashes, for verification."""
     share = df.sparkSession.sparkContext.broadcast(hot)
+    names = (id_col, "cls", "fp", "hot", "stock", *SIGNATURE, "n", "s")
 
     def fn(ids, texts):
         flags = np.unpackbits(np.frombuffer(share.value, np.uint8)).astype(bool)
@@ -109,21 +118,25 @@ def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str, width: i
         key = S.mix(h + np.uint64(1))  # another order than the counters'
         is_hot = flags[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] if len(flags) else np.zeros(len(h), bool)
         sig = _signatures(h, at)
-        out = {c: [] for c in (id_col, "cls", "fp", *SIGNATURE, "n")}
+        low = (S.mix(h) >> np.uint64(32)).astype(np.uint32).astype(np.int32)
+        out = {c: [] for c in names}
         for k, i in enumerate(ids):
             a, b = at[k], at[k + 1]
             if a == b:
                 continue
-            own = key[a:b]
-            rare = own[~is_hot[a:b]]
-            x = own if len(rare) < max(FEW, width) or len(own) - len(rare) > SMALL_SHARE * len(own) else rare
-            fp = np.sort(np.partition(x, width)[:width] if len(x) > width else x).astype(np.int64)
-            for name, y in zip(out, (i, hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest(), fp, *sig[k], b - a)):
+            own, frequent = key[a:b], is_hot[a:b]
+            least = np.argpartition(own, width)[:width] if len(own) > width else np.arange(len(own))
+            least = least[np.argsort(own[least])]
+            bits = int(sum(1 << j for j in np.flatnonzero(frequent[least]).tolist()))
+            f = frequent.sum()
+            stock = int(4 * f >= b - a) + int(12 * f >= 5 * (b - a))
+            digest = hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
+            for name, y in zip(names, (i, digest, own[least].astype(np.int64), bits, stock, *sig[k], b - a, low[a:b])):
                 out[name].append(y)
         return out
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, cls binary, fp array<bigint>, {', '.join(f'{c} bigint' for c in SIGNATURE)}, n int")
+    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, cls binary, fp array<bigint>, hot bigint, stock int, {', '.join(f'{c} bigint' for c in SIGNATURE)}, n int, s array<int>")
 
 
 def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -141,63 +154,126 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sig.astype(np.int64)
 
 
-def variants(fp: Column, core: int = CORE, reach: int = 0) -> Column:
-    """Hashes of the sets of ``core`` elements that dropping the others leads to: of
-    all, or with ``reach`` of those whose elements stand at most so many ranks after
-    the first. Sets of up to 2 * core elements give all, and one of up to
-    2 * core - 2 keeps its elements too (one of two is half)."""
-
-    def grow(made: list[Column], rest: Column, most: int) -> Column:
-        if len(made) == core - 1:
-            return F.transform(rest, lambda x: F.xxhash64(*made, x))
-        return F.flatten(F.transform(rest, lambda x, i: grow([*made, x], F.slice(rest, i + 2, F.lit(most) if most else F.size(rest)), most)))
-
-    every = grow([], fp, 0)
-    return F.when(F.size(fp) <= 2 * core - 2, F.concat(every, fp)).when(F.size(fp) > 2 * core, grow([], fp, reach) if reach else every).otherwise(every)
+def variants(fps: list, hots: list[int], stocks: list[int], wide: list[np.ndarray], open_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, variant, role) of all texts: sets of ``CORE`` hashes, extended where ``wide``.
 
+    ``wide`` has the flags of the levels counted so far. Role 0 meets its like; 1 meets 2.
+    With ``open_only`` only the variants of the last level, which are still to be counted.
+    """
+    size = np.fromiter(map(len, fps), np.int64, len(fps))
+    most = int(size.max()) if len(fps) else 0
+    f, hot = np.zeros((len(fps), most), np.uint64), np.zeros((len(fps), most), bool)
+    for k, x in enumerate(fps):
+        f[k, : len(x)] = np.asarray(x, np.int64).view(np.uint64)
+    for j in range(most):
+        hot[:, j] = (np.asarray(hots, np.int64) >> j) & 1
+    stock = np.asarray(stocks, np.int64)
+
+    def grow(at, reach):
+        t, last, h, bare = at
+        parts = []
+        for d in range(1, most):
+            ok = (last + d < size[t]) & ((d <= reach) | (size[t] <= 2 * CORE))
+            if not ok.any():
+                break
+            i, j = t[ok], last[ok] + d
+            parts.append((i, j, S.mix(h[ok] * _STEP + f[i, j]), bare[ok] & hot[i, j]))
+        return tuple(map(np.concatenate, zip(*parts))) if parts else tuple(x[:0] for x in at)
+
+    t, last = np.nonzero(np.arange(most) < size[:, None])
+    at = (t, last, S.mix(f[t, last]), hot[t, last])
+    alone = size[t] <= 2
+    at = grow(at, REACH)
+    at = tuple(x[~at[3] | (stock[at[0]] > 0)] for x in at)
+    done = []
+    for flags in wide:
+        more = flags[(at[2] & np.uint64(FLAGS - 1)).astype(np.int64)] & (at[1] + 1 < size[at[0]])
+        done.append(tuple(x[~more] for x in at))
+        at = grow(tuple(x[more] for x in at), FURTHER)
+        at = tuple(x[~at[3] | (stock[at[0]] > 0)] for x in at)
+    if open_only:
+        return at[0], at[2], np.zeros(len(at[0]), np.int8)
+    i, _, h, bare = (np.concatenate(x) for x in zip(*done, at))
+    # of frequent hashes alone: full sets of them meet each other, and on one side of a second join the less full ones
+    some, full = bare & (stock[i] == 1), bare & (stock[i] == 2)
+    texts = [i[~some], i[some], i[full], t[alone]]
+    keys = [h[~some], h[some] ^ _ASIDE, h[full] ^ _ASIDE, S.mix(f[t[alone], last[alone]] ^ _ALONE)]
+    roles = [np.zeros((~some).sum(), np.int8), np.full(some.sum(), 2, np.int8), np.full(full.sum(), 1, np.int8), size[t[alone]].astype(np.int8)]
+    return np.concatenate(texts), np.concatenate(keys), np.concatenate(roles)
+
+
+def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False) -> DataFrame:
+    """``variants`` of (rep, fp, hot, stock, s0 to s3, n): (v, role, r, s0 to s3, n), or v only."""
+    share = reps.sparkSession.sparkContext.broadcast(wide)
+    carried = [] if open_only else ["rep", *SIGNATURE, "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in share.value]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = b.column("fp")
+            at, values = fp.offsets.to_numpy(), fp.values.to_numpy()
+            fps = [values[x:y] for x, y in zip(at[:-1], at[1:])]
+            t, v, role = variants(fps, b.column("hot").to_pylist(), b.column("stock").to_pylist(), flags, open_only)
+            cols = [pa.array(v.view(np.int64))]
+            if not open_only:
+                cols += [pa.array(role), *[b.column(c).take(pa.array(t)) for c in carried]]
+            yield pa.RecordBatch.from_arrays(cols, ["v"] if open_only else ["v", "role", *carried])
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    schema = "v bigint" if open_only else f"v bigint, role tinyint, rep {kind}, {', '.join(f'{c} bigint' for c in SIGNATURE)}, n int"
+    return reps.select("fp", "hot", "stock", *carried).mapInArrow(run, schema)
+
+
+def wide_flags(keys: DataFrame, most: int = WIDE) -> bytes | None:
+    """Flags of the places (``v`` modulo FLAGS) of variants that more than ``most`` texts emit; None if there are none."""
+    crowded = keys.groupBy("v").agg(F.count("*").alias("k")).where(F.col("k") > most)
+    place = F.col("v").bitwiseAND(F.lit(FLAGS - 1))
+    size = FLAGS // 512
+
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[b.column("p").to_numpy() % size] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, s): the distinct shingles of each text as 32-bit hashes, for verification."""
-
-    def fn(ids, texts):
-        h, at = _sets(texts)
-        low = (S.mix(h) >> np.uint64(32)).astype(np.uint32).astype(np.int32)
-        return {id_col: ids, "s": [low[at[k] : at[k + 1]] for k in range(len(ids))]}
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_columns(df.select(id_col, text_col), fn, f"{id_col} {kind}, s array<int>")
+    places = crowded.select((place / size).cast("int").alias("block"), place.alias("p")).distinct()
+    rows = places.groupBy("block").applyInArrow(pack, "block int, bits binary").collect()  # at most 512 rows of 4 KB
+    if not rows:
+        return None
+    by = {r.block: bytes(r.bits) for r in rows}
+    return b"".join(by.get(k, bytes(size // 8)) for k in range(512))
 
 
-def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH, core: int = CORE) -> tuple[DataFrame, DataFrame]:
+def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, rep) of every text with shingles, and the verified
-    (rep_a, rep_b, similarity) between classes. Both are tables in the shared folder.
-    Cores above CORE emit the whole ball."""
+    (rep_a, rep_b, similarity) between classes. Both are tables in the shared folder."""
     src = df.select(id_col, text_col).where(F.col(text_col).isNotNull())
     hot, _ = frequent_slots(src, text_col)
     prints = materialise(fingerprints(src, hot, id_col, text_col, width), "prints")
     # copies of one class hold the same fingerprint: the smallest id stands for them
-    first = [F.first(c).alias(c) for c in ("fp", *SIGNATURE, "n")]
+    first = [F.first(c).alias(c) for c in ("fp", "hot", "stock", *SIGNATURE, "n")]
     reps = materialise(prints.groupBy("cls").agg(F.min(id_col).alias("rep"), *first), "reps")
     members = materialise(prints.select(id_col, "cls").distinct().join(reps.select("cls", "rep"), "cls").select(id_col, "rep"), "members")
-    v = F.array_distinct(variants(F.col("fp"), core, REACH if core == CORE else 0))
-    keys = reps.select(F.explode(v).alias("v"), F.col("rep").alias("r"), *SIGNATURE, "n")
-    a = keys.select("v", *[F.col(c).alias(f"{c}_a") for c in ("r", *SIGNATURE, "n")])
-    b = keys.select("v", *[F.col(c).alias(f"{c}_b") for c in ("r", *SIGNATURE, "n")])
+    wide: list[bytes] = []
+    while len(wide) < LEVELS - CORE and (flags := wide_flags(variant_rows(reps, wide, open_only=True), WIDE)):
+        wide.append(flags)
+    keys = variant_rows(reps, wide)
+    a = keys.where("role <> 2").select("v", *[F.col(c).alias(f"{c}_a") for c in ("role", "rep", *SIGNATURE, "n")])
+    b = keys.where("role <> 1").select("v", *[F.col(c).alias(f"{c}_b") for c in ("role", "rep", *SIGNATURE, "n")])
     x = [F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in SIGNATURE]
     apart = F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
     like = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & (apart <= _most_apart(threshold))
-    cand = materialise(a.join(b, "v").where("r_a < r_b").where(like).select(F.col("r_a").alias("a"), F.col("r_b").alias("b")).distinct(), "candidates")
-    wanted = cand.select(F.col("a").alias(id_col)).union(cand.select(F.col("b").alias(id_col))).distinct()
-    wanted = materialise(wanted, "wanted")
-    small = wanted.count() <= MOST_BROADCAST  # else the texts are shuffled to the ids
-    texts = src.join(F.broadcast(wanted) if small else wanted, id_col, "left_semi")
-    sets = materialise(shingle_sets(texts.dropDuplicates([id_col]), id_col, text_col), "sets")
-    x = cand.join(sets.select(F.col(id_col).alias("a"), F.col("s").alias("sa")), "a")
-    y = x.join(sets.select(F.col(id_col).alias("b"), F.col("s").alias("sb")), "b")
+    once = F.col("rep_a") < F.col("rep_b")
+    met = a.join(b, "v").where(F.when(F.col("role_a") == 0, (F.col("role_b") == 0) & once).otherwise(F.col("role_b") == 2)).where(like)
+    cand = materialise(met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "candidates")
+    sets = lambda i, c: prints.select(F.col(id_col).alias(i), F.col("s").alias(c))
+    y = cand.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     scored = y.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), both.alias("k"), (F.size("sa") + F.size("sb")).alias("n"))
     links = scored.select("rep_a", "rep_b", (F.col("k") / (F.col("n") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= threshold)
-    return members, materialise(links, "links")
+    return members, materialise(links.distinct(), "links")  # redelivered rows give a link twice
 
 
 def _most_apart(threshold: float, values: int = 128) -> int:
@@ -206,33 +282,30 @@ def _most_apart(threshold: float, values: int = 128) -> int:
     return int(values * p + 3.8 * (values * p * (1 - p)) ** 0.5 + 1)
 
 
-def near_pairs(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH, core: int = CORE) -> DataFrame:
+def near_pairs(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH) -> DataFrame:
     """(id_a, id_b): all pairs of different ids whose texts reach the threshold."""
-    members, links = near_classes(df, id_col, text_col, threshold, width, core)
+    members, links = near_classes(df, id_col, text_col, threshold, width)
     m = lambda x, r: members.select(F.col(id_col).alias(x), F.col("rep").alias(r))
     same = m("x", "r").join(m("y", "r"), "r").where("x < y").select("x", "y")
     cross = links.select("rep_a", "rep_b").join(m("x", "rep_a"), "rep_a").join(m("y", "rep_b"), "rep_b").select("x", "y")
     return same.union(cross).select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
 
 
-def near_groups(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, rounds: int = 40, width: int = WIDTH, core: int = CORE) -> DataFrame:
+def near_groups(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH) -> DataFrame:
     """(id, rep, group_id, n_links): the class, the group of copies and the
     number of links to other classes of every text with shingles."""
-    members, links = near_classes(df, id_col, text_col, threshold, width, core)
+    members, links = near_classes(df, id_col, text_col, threshold, width)
     edges = links.select(F.col("rep_a").alias("u"), F.col("rep_b").alias("w"))
     edges = edges.union(edges.select("w", "u")).toDF("u", "w")
     degree = edges.groupBy("u").agg(F.count("*").alias("n_links"))
     label = degree.select("u", F.col("u").alias("g"))
-    for _ in range(rounds):
+    moved = True
+    while moved:  # each round the smallest id reaches twice as far
         best = edges.join(label.select(F.col("u").alias("w"), "g"), "w").groupBy("u").agg(F.min("g").alias("m"))
         # the label of one's label: halves the distance to the smallest id
         step = label.join(best, "u").select("u", "g", F.least("g", "m").alias("m"))
         jump = label.select(F.col("u").alias("m"), F.col("g").alias("j"))
         nxt = materialise(step.join(jump, "m").select("u", F.col("j").alias("g"), (F.col("j") != F.col("g")).alias("moved")), "labels")
-        label = nxt.select("u", "g")
-        if nxt.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"groups still change after {rounds} rounds")
+        label, moved = nxt.select("u", "g"), not nxt.where("moved").isEmpty()
     out = members.join(label.withColumnRenamed("u", "rep"), "rep", "left").join(degree.withColumnRenamed("u", "rep"), "rep", "left")
     return out.select(id_col, "rep", F.coalesce("g", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -2,9 +2,11 @@ import random
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from docloom.llm.nearcopies import near_groups, near_pairs, variants
+from docloom.llm import nearcopies as N
+from docloom.llm.nearcopies import near_groups, near_pairs
 
 random.seed(5)
 WORDS = [f"w{i}" for i in range(400)]
@@ -66,21 +68,67 @@ def test_copies_of_one_text(spark):
     assert near_pairs(df).count() == 60 * 59 // 2
 
 
-def test_variants(spark):
-    rows = [(list(range(10, 10 + n)),) for n in range(7)]
-    df = spark.createDataFrame(rows, "fp array<bigint>")
-    for core in (2, 3):
-        for r in df.select("fp", variants(F.col("fp"), core).alias("v")).collect():
-            n = len(r.fp)
-            want = len(list(combinations(r.fp, core))) + (n if n <= 2 * core - 2 else 0)
-            assert len(set(r.v)) == len(r.v) == want
+def test_variants():
+    fps = [np.arange(10, 10 + n) for n in range(7)]
+    t, v, role = N.variants(fps, [0] * 7, [0] * 7, [])
+    for n in range(7):
+        pairs = v[(t == n) & (role == 0)]
+        assert len(set(pairs)) == len(pairs) == (len(list(combinations(range(n), 2))) if n <= 4 else 2 * n - 3)
+        assert (role[t == n] == n).sum() == (n if n in (1, 2) else 0) or n == 0
+    full = np.ones(N.FLAGS, bool)
+    t, v, role = N.variants([np.arange(10)], [0], [0], [full])
+    # every pair is extended by one of the next three but those at the end
+    assert len(v) == len(set(v)) == sum(min(3, 9 - j) or 1 for i in range(10) for j in (i + 1, i + 2) if j < 10)
+    assert len(N.variants([np.arange(10)], [0b1111111111], [0], [])[0]) == 0  # frequent hashes alone, in a text of few
+    assert (N.variants([np.arange(10)], [0b1111111111], [1], [])[2] == 2).all()
 
 
-def test_wider_core(spark):
-    docs = corpus()
+def collisions(spark, docs):
+    """Largest group of a variant and all pairs that collide."""
     df = spark.createDataFrame(docs, "conv_id long, markdown string")
-    got = {tuple(r) for r in near_pairs(df, width=10, core=3).collect()}
-    assert got == brute(docs)
+    hot, _ = N.frequent_slots(df)
+    reps = N.fingerprints(df, hot, "conv_id", "markdown").withColumnRenamed("conv_id", "rep")
+    wide = []
+    while len(wide) < N.LEVELS - N.CORE and (f := N.wide_flags(N.variant_rows(reps, wide, open_only=True), N.WIDE)):
+        wide.append(f)
+    n = N.variant_rows(reps, wide).groupBy("v").agg(F.sum((F.col("role") != 2).cast("int")).alias("a"), F.sum((F.col("role") != 1).cast("int")).alias("b"))
+    return n.agg(F.max(F.least("a", "b")), F.sum(F.col("a") * F.col("b"))).first()
+
+
+def test_short_texts_with_a_stock_phrase_do_not_collide(spark):
+    r = random.Random(3)
+    stock = words(r, 17)
+    docs = [(i, " ".join(stock + words(r, 22))) for i in range(4000)]
+    small, large = collisions(spark, docs[:2000]), collisions(spark, docs)
+    assert large[0] <= 2 and large[1] <= 2.2 * small[1]
+    tiny = [(i, " ".join([*stock[:3], f"u{i}"])) for i in range(3000)] + [(9000, " ".join(stock[:3]))]
+    assert collisions(spark, tiny)[1] <= 3000 * 6  # (a, b) meets (a) but not (a, c)
+    got = near_pairs(spark.createDataFrame(tiny, "conv_id long, markdown string")).collect()
+    assert {tuple(x) for x in got} == {(i, 9000) for i in range(3000)}
+
+
+def test_wide_variants_keep_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(N, "WIDE", 3)
+    r = random.Random(8)
+    stock = [words(r, 40) for _ in range(4)]
+    docs = []
+    for g in range(120):  # two stock passages of four and own text: variants of the stock are wide
+        own = words(r, 90)
+        base = [*stock[g % 4], *own, *stock[(g + 1) % 4]]
+        docs += [base, edited(base, 6)]
+    docs = [(i, " ".join(t)) for i, t in enumerate(docs)]
+    got = {tuple(p) for p in near_pairs(spark.createDataFrame(docs, "conv_id long, markdown string")).collect()}
+    assert got == brute(docs) and len(got) == 120
+
+
+def test_texts_of_stock_phrases_alone(spark):
+    r = random.Random(9)
+    stock = [words(r, 12) for _ in range(5)]
+    docs = [(i, " ".join(stock[0] + stock[1] + stock[2] + words(r, 3))) for i in range(80)]  # a form letter
+    docs += [(100 + i, " ".join(stock[0] + words(r, 9))) for i in range(80)]  # half of it stock
+    docs.append((999, " ".join(stock[0])))
+    got = {tuple(p) for p in near_pairs(spark.createDataFrame(docs, "conv_id long, markdown string")).collect()}
+    assert got == brute(docs) and len(got) >= 80 * 79 // 2
 
 
 def words(r, n):
@@ -102,10 +150,3 @@ def test_recall_of_cut_copies(spark):
     assert len(want & {(i, i + 1) for i in range(0, len(docs), 2)}) == 350
     got = {tuple(p) for p in near_pairs(spark.createDataFrame(docs, "conv_id long, markdown string")).collect()}
     assert got == want
-
-
-def test_reach(spark):
-    df = spark.createDataFrame([(list(range(10, 10 + n)),) for n in range(9)], "fp array<bigint>")
-    for r in df.select("fp", variants(F.col("fp"), 2, 2).alias("v"), variants(F.col("fp"), 2).alias("every")).collect():
-        n = len(r.fp)
-        assert set(r.v) <= set(r.every) and len(r.v) == (len(r.every) if n <= 4 else 2 * n - 3)
