@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import detect, errors, imageplan, textrules, validate
+from docloom.functions import detect, errors, imageplan, mathxml, textrules, validate
 from docloom.operators import htmlmd, metrics, nested, schemas
 from docloom.plans.session import table
 from docloom.streaming.convert import run_counts
@@ -264,26 +264,26 @@ def unicode_to_latex(s, d):
 _OMML = "concat('<m:oMath><m:f><m:fPr/><m:num>', l_partkey, '</m:num><m:den>', l_suppkey, '</m:den></m:f><m:sSup><m:e>x</m:e><m:sup>', l_linenumber, '</m:sup></m:sSup><m:sSub><m:e>y</m:e><m:sub>i</m:sub></m:sSub>', CASE WHEN l_partkey % 2 = 0 THEN '<m:rad><m:deg>3</m:deg><m:e>z</m:e></m:rad>' ELSE '<m:rad><m:e>π ≤ w</m:e></m:rad>' END, '<m:r><m:t>ratio:b ', l_orderkey, '</m:t></m:r></m:oMath>')"
 
 
-def _omml_sql(literal: bool) -> str:
-    x = "regexp_replace(xml, '[a-zA-Z]+:', '', 'g')" if literal else r"regexp_replace(xml, '(</?)[a-zA-Z]+:', '\1', 'g')"
-    t = lambda n: rf"<{n}>([^\n\r]*?)</{n}>"
-    g = r"(?s:.*?)"
-    steps = [(rf"<f>{g}{t('num')}{g}{t('den')}{g}</f>", r"\\frac{\1}{\2}"), (rf"<sSup>{g}{t('e')}{g}{t('sup')}{g}</sSup>", r"\1^{\2}"), (rf"<sSub>{g}{t('e')}{g}{t('sub')}{g}</sSub>", r"\1_{\2}")]
-    nth, root = (rf"<rad>{t('deg')}{g}{t('e')}{g}</rad>", r"\\sqrt[\1]{\2}"), (rf"<rad>{g}{t('e')}{g}</rad>", r"\\sqrt{\1}")
-    steps += [root] if literal else [nth, root]
-    steps.append((rf"<r>{g}{t('t')}{g}</r>", r"\1"))
-    for a, b in steps:
-        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
-    x = _latex_sql(f"regexp_replace({x}, '<[^>]*>', ' ', 'g')")
-    return f"regexp_replace(regexp_replace({x}, '{_WS}+', ' ', 'g'), '^ | $', '', 'g')"
+def _omml_want(root: str, text: str) -> str:
+    """The LaTeX by hand, from the numbers of the row."""
+    return rf"SELECT DISTINCT l_orderkey, concat('\frac{{', l_partkey, '}}{{', l_suppkey, '}}x^{{', l_linenumber, '}}y_{{i}}', CASE WHEN l_partkey % 2 = 0 THEN '{root}' ELSE '\sqrt{{\pi \leq w}}' END, '{text} ', l_orderkey) AS latex FROM lineitem"
 
 
-for _mode in ("default", "literal"):
+for _mode, _want in (("default", _omml_want(r"\sqrt[3]{z}", "ratio:b")), ("literal", _omml_want(r"\sqrt{z}", "b"))):
 
-    @query(f"omml_to_latex_{_mode}", f"SELECT DISTINCT l_orderkey, {_omml_sql(_mode == 'literal')} AS latex FROM (SELECT l_orderkey, {_OMML} AS xml FROM lineitem)")
+    @query(f"omml_to_latex_{_mode}", _want)
     def omml_to_latex(s, d, mode=_mode):
-        x = table(s, d, "lineitem").select("l_orderkey", F.expr(_OMML).alias("xml"))
-        return x.select("l_orderkey", textrules.omml_to_latex(F.col("xml"), mode).alias("latex")).distinct()
+        # equal formulas once, before they are read; the shuffle also spreads a table of one file
+        x = table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").distinct()
+        return x.select("l_orderkey", mathxml.omml_to_latex(F.expr(_OMML), mode).alias("latex"))
+
+
+_NESTED = "concat('<m:f><m:num><m:f><m:num><m:r><m:t>', o_orderkey, '</m:t></m:r></m:num><m:den><m:r><m:t>b</m:t></m:r></m:den></m:f></m:num><m:den><m:rad><m:deg><m:r><m:t>', o_orderkey % 7 + 3, '</m:t></m:r></m:deg><m:e><m:sSup><m:e><m:rad><m:radPr/><m:deg/><m:e><m:r><m:t>∑ x</m:t></m:r></m:e></m:rad></m:e><m:sup><m:f><m:num><m:r><m:t>1</m:t></m:r></m:num><m:den><m:r><m:t>2</m:t></m:r></m:den></m:f></m:sup></m:sSup></m:e></m:rad></m:den></m:f>')"
+
+
+@query("omml_nested", r"SELECT o_orderkey, concat('\frac{\frac{', o_orderkey, '}{b}}{\sqrt[', o_orderkey % 7 + 3, ']{\sqrt{\sum x}^{\frac{1}{2}}}}') AS latex FROM orders")
+def omml_nested(s, d):
+    return table(s, d, "orders").select("o_orderkey", mathxml.omml_to_latex(F.expr(_NESTED)).alias("latex"))
 
 
 @query("latex_run", f"SELECT conv_id, '<w:r><w:t>' || q || coalesce(title, '') || q || '</w:t></w:r>' AS run FROM (SELECT *, CASE WHEN conv_id % 2 = 0 THEN '$$' ELSE '$' END AS q FROM {_C})")

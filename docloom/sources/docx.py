@@ -17,48 +17,18 @@ from html import escape
 from pyspark.sql import DataFrame
 
 from docloom.functions.arrow import map_columns
-from docloom.functions.textrules import LATEX
+from docloom.functions.mathxml import child as _kid
+from docloom.functions.mathxml import latex as math_latex
+from docloom.functions.mathxml import local_name as _local
 
 PARTS = ("word/document.xml", "word/footnotes.xml", "word/endnotes.xml")
 _HEADING = re.compile(r"heading\s*([1-6])$", re.I)
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
-
-
 def _attr(e: ET.Element, name: str) -> str | None:
     return next((v for k, v in e.attrib.items() if _local(k) == name), None)
 
 
-def _kid(e: ET.Element | None, *path: str) -> ET.Element | None:
-    for p in path:
-        e = next((k for k in e if _local(k.tag) == p), None) if e is not None else None
-    return e
-
-
-def math_latex(e: ET.Element) -> str:
-    """An equation element as LaTeX, by its structure; nested parts nest."""
-    t = _local(e.tag)
-    sub = lambda *p: math_latex(k) if (k := _kid(e, *p)) is not None else ""
-    if t == "t":
-        return "".join(f"{LATEX[c]} " if c in LATEX else c for c in e.text or "")
-    if t == "f":
-        return f"\\frac{{{sub('num')}}}{{{sub('den')}}}"
-    if t == "sSup":
-        return f"{sub('e')}^{{{sub('sup')}}}"
-    if t == "sSub":
-        return f"{sub('e')}_{{{sub('sub')}}}"
-    if t == "sSubSup":
-        return f"{sub('e')}_{{{sub('sub')}}}^{{{sub('sup')}}}"
-    if t == "rad":
-        deg = sub("deg").strip()
-        return f"\\sqrt[{deg}]{{{sub('e')}}}" if deg else f"\\sqrt{{{sub('e')}}}"
-    if t.endswith("Pr"):
-        return ""
-    return "".join(math_latex(k) for k in e).strip() if t in ("num", "den", "e", "sup", "sub", "deg") else "".join(math_latex(k) for k in e)
-
-
 class _Html:
     def __init__(self, rels: dict[str, str], styles: dict[str, str], ordered: set[str], style_map: dict[str, str], math: bool) -> None:
         self.rels, self.styles, self.ordered, self.map, self.math = rels, styles, ordered, style_map, math
