@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions.textrules import LATEX
 
-_PIECE = re.compile(r"<(?P<end>/?)(?P<name>[A-Za-z_][\w.:-]*)[^<>]*?(?P<void>/?)>|<[!?][^<>]*>|(?P<text>[^<]+|<)")
+#: end mark, name without prefix, sign of an empty element, text
+_PIECE = re.compile(r"<(/?)(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*)(?:\s[^<>]*?)?(/?)>|<[!?][^<>]*>|([^<]+|<)")
 _WORD_PREFIX = re.compile(r"[a-zA-Z]+:")
+Part = tuple[str, str]  # an element's name and LaTeX; text has no name
 
 
 def local_name(tag: str) -> str:
@@ -31,35 +33,34 @@ def child(e: ET.Element | None, *path: str) -> ET.Element | None:
     return e
 
 
-def read_fragment(xml: str, literal: bool = False) -> ET.Element:
-    """The elements of a fragment under one root, names without prefixes."""
-    build, open_ = ET.TreeBuilder(), ["root"]
-    build.start("root", {})
-    for m in _PIECE.finditer(xml):
-        if m["text"] is not None:
-            build.data(_WORD_PREFIX.sub("", m["text"]) if literal else unescape(m["text"]))
-        elif m["name"] is not None:
-            name = m["name"].rpartition(":")[2]
-            if not m["end"]:
-                build.start(name, {})
-                if m["void"]:
-                    build.end(name)
-                else:
-                    open_.append(name)
-            elif name in open_[1:]:
-                while (last := open_.pop()) != name:
-                    build.end(last)
-                build.end(name)
-    while open_:
-        build.end(open_.pop())
-    return build.close()
-
-
-def latex(root: ET.Element, degrees: bool = True) -> str:
-    """An element as LaTeX. Without ``degrees`` every root is a square root.
-
-    The parts of an element are rendered before it, from the leaves up, so depth is no limit.
-    """
+def _text(name: str, text: str) -> str:
+    """Text inside an element; blanks between elements are none."""
+    if name != "t" and not text.strip():
+        return ""
+    return text if text.isascii() else "".join(f"{LATEX[c]} " if c in LATEX else c for c in text)
+
+
+def _part(parts: list[Part], name: str) -> str:
+    return next((x.strip() for n, x in parts if n == name), "")
+
+
+def _render(name: str, parts: list[Part], degrees: bool) -> str:
+    """An element as LaTeX from its rendered parts. Without ``degrees`` every root is a square root."""
+    if name == "f":
+        return f"\\frac{{{_part(parts, 'num')}}}{{{_part(parts, 'den')}}}"
+    if name in ("sSup", "sSub", "sSubSup"):
+        low = f"_{{{_part(parts, 'sub')}}}" if name != "sSup" else ""
+        return _part(parts, "e") + low + (f"^{{{_part(parts, 'sup')}}}" if name != "sSub" else "")
+    if name == "rad":
+        degree = _part(parts, "deg") if degrees else ""
+        return "\\sqrt" + (f"[{degree}]" if degree else "") + f"{{{_part(parts, 'e')}}}"
+    if name.endswith("Pr"):
+        return ""  # properties are no content
+    return "".join([x for _, x in parts])
+
+
+def latex(root: ET.Element) -> str:
+    """An element of a parsed file as LaTeX; parts come before the whole, so depth is no limit."""
     done: dict[ET.Element, str] = {}
     todo = [(root, False)]
     while todo:
@@ -68,39 +69,41 @@ def latex(root: ET.Element, degrees: bool = True) -> str:
             todo.append((e, True))
             todo += [(k, False) for k in e]
             continue
-        done[e] = _render(e, done, degrees)
+        name = local_name(e.tag)
+        parts = [("", _text(name, e.text))] if e.text else []
         for k in e:
-            del done[k]
+            parts.append((local_name(k.tag), done.pop(k)))
+            if k.tail:
+                parts.append(("", _text(name, k.tail)))
+        done[e] = _render(name, parts, True)
     return done[root]
 
 
-def _symbols(text: str | None, blank: bool) -> str:
-    if not text or not (blank or text.strip()):
-        return ""
-    return text if text.isascii() else "".join(f"{LATEX[c]} " if c in LATEX else c for c in text)
-
-
-def _render(e: ET.Element, done: dict[ET.Element, str], degrees: bool) -> str:
-    name = local_name(e.tag)
-    if name.endswith("Pr"):
-        return ""  # properties are no content
-    part = lambda p: done[k].strip() if (k := child(e, p)) is not None else ""
-    if name == "f":
-        return f"\\frac{{{part('num')}}}{{{part('den')}}}"
-    if name in ("sSup", "sSub", "sSubSup"):
-        low = f"_{{{part('sub')}}}" if name != "sSup" else ""
-        return part("e") + low + (f"^{{{part('sup')}}}" if name != "sSub" else "")
-    if name == "rad":
-        degree = part("deg") if degrees else ""
-        return "\\sqrt" + (f"[{degree}]" if degree else "") + f"{{{part('e')}}}"
-    # blanks count inside text elements and in elements that hold nothing but text
-    return _symbols(e.text, name == "t" or not len(e)) + "".join(done[k] + _symbols(k.tail, False) for k in e)
-
-
 def fragment_to_latex(xml: str | None, literal: bool = False) -> str | None:
+    """A fragment of XML as LaTeX, rendered while it is read."""
     if xml is None:
         return None
-    return " ".join(latex(read_fragment(xml, literal), not literal).split())
+    names, levels = [""], [[]]
+    for end, name, void, text in _PIECE.findall(xml):
+        if text:
+            text = _WORD_PREFIX.sub("", text) if literal else unescape(text) if "&" in text else text
+            levels[-1].append(("", _text(names[-1], text)))
+        elif end:
+            if name in names:
+                while True:
+                    last, parts = names.pop(), levels.pop()
+                    levels[-1].append((last, _render(last, parts, not literal)))
+                    if last == name:
+                        break
+        elif void:
+            levels[-1].append((name, _render(name, [], not literal)))
+        elif name:
+            names.append(name)
+            levels.append([])
+    while len(names) > 1:
+        last, parts = names.pop(), levels.pop()
+        levels[-1].append((last, _render(last, parts, not literal)))
+    return " ".join("".join([x for _, x in levels[0]]).split())
 
 
 def omml_to_latex(xml: Column, compat: str = "default") -> Column:
