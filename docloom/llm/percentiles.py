@@ -10,13 +10,13 @@ equal nodes, so those of separate partitions or days combine.
 
 Guarantee: a rank is off by at most n * UNIVERSE / k, here EPS / 2 of n, for
 any merge order, as every node above the leaves holds at most the sum of the
-parts' n_i / k <= n / k values; a digest has at most 3k + 1 nodes, and a merged
-one never more nodes than the universe has (2^(UNIVERSE+1)), whatever the input.
+parts' n_i / k <= n / k values; a digest has at most 3k + 1 nodes, and so has a
+merged one, as it is compressed again.
 
 Each task digests its rows by group in numpy, so only digests are shuffled; a
 group that holds a third of all rows costs no more than any other. Nodes are
-added by a map-side combined aggregation, and ranks are read off by a window
-over the bounded digest.
+added by a map-side combined aggregation and compressed by group, and ranks are
+read off by a window over the bounded digest.
 
 Defined results: null, NaN, infinite, zero and negative values are left out
 (``n`` counts the rest); values beyond [2^-12, 2^39) fall into the end cells;
@@ -26,6 +26,8 @@ redelivered keys count once when ``key_col`` is given.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -121,12 +123,57 @@ def digests(df: DataFrame, keys: list[str], value_col: str, key_col: str | None
             keep.append(q)
         return pd.concat(keep, ignore_index=True) if keep else p
 
-    return rows.mapInArrow(run, out).groupBy(*keys, "node").agg(F.sum("n").alias("n"))
+    return merge(rows.mapInArrow(run, out), keys, k)
+
 
+def merge(parts: DataFrame, keys: list[str], k: int = K) -> DataFrame:
+    """Digests of tasks, finer groups or several days -> digests of ``keys``: equal
+    nodes are added (combined in the tasks first), then each digest is compressed
+    again, so it has at most 3k + 1 nodes however many were merged. A group has at
+    most 2^(UNIVERSE + 1) different nodes, which bounds what one task compresses."""
+    added = parts.groupBy(*keys, "node").agg(F.sum("n").alias("n"))
+    out = T.StructType([*[added.schema[c] for c in keys], T.StructField("node", T.IntegerType()), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(out)
 
-def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Digests of finer groups or of several days -> digests of ``keys``, by node addition."""
-    return parts.groupBy(*keys, "node").agg(F.sum("n").alias("n"))
+    def shrink(p: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+        code = p.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+        edge = np.flatnonzero(np.diff(code, prepend=-1, append=-2))
+        big = np.add.reduceat(p["n"].to_numpy(), edge[:-1]) >= k  # smaller groups have nothing to compress
+        keep, rest = [], np.ones(len(p), bool)
+        for a, b in zip(edge[:-1][big], edge[1:][big]):
+            nodes, counts = compress(p["node"].to_numpy()[a:b].astype(np.int64), p["n"].to_numpy()[a:b], k)
+            q = p.iloc[np.full(len(nodes), a)].copy()
+            q["node"], q["n"] = nodes, counts
+            keep.append(q)
+            rest[a:b] = False
+        for q in [p[rest], *keep]:
+            if len(q):
+                yield pa.RecordBatch.from_pandas(q[[f.name for f in out]], schema=arrow, preserve_index=False)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pd.DataFrame] = []  # a group may go on in the next batch
+        for b in batches:
+            if not b.num_rows:
+                continue
+            p = b.to_pandas()
+            code = p.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            last = int(np.flatnonzero(np.diff(code, prepend=-1))[-1])
+            if last:
+                yield from shrink(pd.concat([*held, p.iloc[:last]]) if held else p.iloc[:last])
+                held = [p.iloc[last:]]
+            elif held and not _same(held[0].iloc[0], p.iloc[0], keys):
+                yield from shrink(pd.concat(held))
+                held = [p]
+            else:
+                held.append(p)
+        if held:
+            yield from shrink(pd.concat(held))
+
+    return added.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(again, out)
+
+
+def _same(x: pd.Series, y: pd.Series, keys: list[str]) -> bool:
+    return all(x[c] == y[c] or pd.isna(x[c]) and pd.isna(y[c]) for c in keys)
 
 
 def quantiles(digest: DataFrame, keys: list[str], qs: dict[str, float]) -> DataFrame:

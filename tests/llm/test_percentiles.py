@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import percentiles as P
 
@@ -47,3 +48,18 @@ def test_columns(spark):
     assert set(got) == {"a", None} and got["a"].n == 100
     assert abs(got["a"].p50 / 50 - 1) < 1e-3 and abs(got["a"].p99 / 99 - 1) < 1e-3 and abs(got[None].p50 / 7 - 1) < 1e-3
     assert P.quantiles(P.digests(df.limit(0).select("id", "g", "v"), ["g"], "v"), ["g"], {"p50": 0.5}).count() == 0
+
+
+def test_merged_digests_stay_small(spark):
+    n, k = 1_000_000, 300
+    df = spark.range(0, n, 1, 16).selectExpr("id % 2 AS g", "id % 7 AS day", "exp(rand(5) * 12) AS v")
+    daily = P.digests(df, ["g", "day"], "v", k=k)
+    whole = P.merge(daily, ["g"], k)
+    size = {r.g: (r.c, r.n) for r in whole.groupBy("g").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()}
+    assert set(size) == {0, 1} and all(c <= 3 * k + 1 and m == n // 2 for c, m in size.values())
+    assert daily.groupBy("g", "day").count().agg({"count": "max"}).first()[0] <= 3 * k + 1
+    qs = {"q5": 0.05, "q50": 0.5, "q95": 0.95}
+    truth = {r.g: r for r in df.groupBy("g").agg(*[F.expr(f"percentile(v, {q})").alias(c) for c, q in qs.items()]).collect()}
+    got = {r.g: r for r in P.quantiles(whole, ["g"], qs).collect()}
+    for g in (0, 1):  # ln v is uniform: a rank error of e shifts it by 12 e
+        assert all(abs(np.log(got[g][q] / truth[g][q])) <= 12 * (P.UNIVERSE / k + 0.002) for q in qs)
