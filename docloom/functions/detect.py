@@ -25,7 +25,9 @@ SIGNATURES = [
 OFFICE = [("word/", "document.xml", ".docx"), ("xl/", "workbook.xml", ".xlsx"), ("ppt/", "presentation.xml", ".pptx")]
 SUPPORTED_MIME = [DOCX, "application/msword", "text/html", "text/plain", "text/markdown"]
 SUPPORTED_EXT = [".docx", ".doc", ".html", ".htm", ".txt", ".md"]
-FEATURES = ["headings", "lists", "tables", "links", "images", "math"]
+# fixed values: what the listing of converters names
+CONVERTER = "DocxConverter"
+FEATURES = ["Tables", "Math equations (OMML to LaTeX)", "Headings and formatting", "Images with alt text", "Lists and structural elements", "Custom style mapping", "Batch processing"]
 INFO = "struct<mimetype:string,extension:string>"
 
 
@@ -87,11 +89,23 @@ def recognised(mimetype: Column, extension: Column) -> Column:
     return F.coalesce(mimetype.isin(SUPPORTED_MIME), F.lit(False)) | F.coalesce(F.lower(extension).isin(SUPPORTED_EXT), F.lit(False))
 
 
-def convertible(content: Column, mimetype: Column, extension: Column) -> Column:
-    """A converter takes it: word-processor files by name, type or bytes; HTML and text."""
+def converter_of(content: Column, mimetype: Column, extension: Column) -> Column:
+    """Which built-in converter takes a file, or null: ``docx`` by name, type or bytes, then ``html`` and ``text``
+    by name or type. A file's name counts before a type that says nothing."""
+    ext, kind = F.lower(extension), F.lower(mimetype)
     head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
-    docx = (F.lower(extension) == ".docx") | F.startswith(mimetype, F.lit(DOCX)) | (head.startswith("PK") & head.contains("word/") & head.contains("document.xml"))
-    return F.coalesce(docx, F.lit(False)) | F.coalesce(F.lower(extension).isin(".html", ".htm", ".txt", ".md"), F.lit(False)) | F.coalesce(mimetype.isin("text/html", "text/plain", "text/markdown"), F.lit(False))
+    inside = head.startswith("PK") & head.contains("word/") & head.contains("document.xml")
+    any_of = lambda *c: F.greatest(*[F.coalesce(x, F.lit(False)) for x in c])
+    return (
+        F.when(any_of(ext == ".docx", F.startswith(kind, F.lit(DOCX)), inside), "docx")
+        .when(any_of(kind == "text/html", ext.isin(".html", ".htm")), "html")
+        .when(any_of(kind.isin("text/plain", "text/markdown"), ext.isin(".txt", ".md")), "text")
+    )
+
+
+def convertible(content: Column, mimetype: Column, extension: Column) -> Column:
+    """Some converter takes it; ``convert`` goes by the same rule."""
+    return converter_of(content, mimetype, extension).isNotNull()
 
 
 def file_info(df: DataFrame) -> DataFrame:
@@ -104,7 +118,8 @@ def file_info(df: DataFrame) -> DataFrame:
 
 
 def supported_types(spark: SparkSession) -> DataFrame:
-    rows = [("extension", e) for e in SUPPORTED_EXT] + [("mimetype", m) for m in SUPPORTED_MIME] + [("feature", f) for f in FEATURES]
+    """What the word-processor converter is listed with; HTML and text need no conversion and are not listed."""
+    rows = [("converter", CONVERTER), ("extension", ".docx"), ("mimetype", DOCX)] + [("feature", f) for f in FEATURES]
     return spark.createDataFrame(rows, "kind string, value string")
 
 

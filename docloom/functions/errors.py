@@ -65,6 +65,23 @@ def error_struct(code: Column, phase: Column, message: Column, context: Column |
     return F.when(code.isNotNull(), F.struct(code.alias("code"), phase.alias("phase"), message.alias("message"), (context if context is not None else empty).alias("context")))
 
 
+# fixed values: what names a failure that may pass by itself
+PASSING = ("rate limit", "timeout", "connection", "econnreset", "etimedout", "429", "503")
+
+
+def passing(error: BaseException) -> bool:
+    """A call with such a failure is worth repeating."""
+    if isinstance(error, (TimeoutError, ConnectionError)):
+        return True
+    code = str(getattr(error, "status", None) or getattr(error, "code", None) or "").lower()
+    return code in PASSING or any(x in str(error).lower() for x in PASSING)
+
+
+def is_passing(message: Column) -> Column:
+    """The same by an error's text."""
+    return F.coalesce(F.lower(message).rlike("|".join(PASSING)), F.lit(False))
+
+
 def retry_delay_ms(attempt: Column, base: int = 1000, factor: int = 2, most: int = 60_000) -> Column:
     """Exponential back-off, capped."""
     return F.least(F.lit(most), (F.lit(base) * F.pow(F.lit(factor), attempt)).cast("bigint"))

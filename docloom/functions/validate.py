@@ -20,6 +20,7 @@ _EMAIL = r"^[A-Za-z0-9_+-]+(\.[A-Za-z0-9_+-]+)*@([A-Za-z0-9][A-Za-z0-9-]*\.)+[A-
 PROMPTS = {
     "tables": "Return every table of the document: headers, all rows, numbers as numbers, null for empty cells.",
     "invoice": "Return the invoice: numbers and dates, seller and buyer, lines, totals, taxes and payment; null for what is not there.",
+    "system": "You read scanned business documents and fill the given schema exactly. Numbers are numbers, what is missing or unclear is null, nothing is guessed. Answer with one valid JSON value and no other text.",
     "generic": "Return everything visible in the document by the given schema; null for what is unclear.",
 }
 
@@ -29,6 +30,24 @@ def to_int(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^[ \t\r\n]*([+-]?[0-9]+)", 1), F.lit("")).try_cast("int")
 
 
+def request_defaults(provider: Column, model: Column, query: Column, crop: Column, tables_only: Column, doc_type: Column, contrast: Column, quality: Column, debug: Column) -> Column:
+    """A request's form fields, typed, absent ones with their defaults. Switches are on by the text
+    ``true``, contrast is off only by ``false``; numbers that are none stay null and are errors."""
+    flag = lambda c: F.coalesce(c == "true", F.lit(False))
+    given = F.nullif(quality, F.lit(""))
+    return F.struct(
+        F.coalesce(provider, F.lit("scaleway")).alias("provider"),
+        model.alias("model"),
+        F.coalesce(query, F.lit("*")).alias("query"),
+        to_int(crop).alias("cropSize"),
+        flag(tables_only).alias("tablesOnly"),
+        doc_type.alias("documentType"),
+        F.coalesce(contrast != "false", F.lit(True)).alias("enhanceContrast"),
+        F.when(given.isNull(), 95).otherwise(to_int(given)).alias("targetQuality"),
+        flag(debug).alias("debug"),
+    )
+
+
 def request_errors(provider: Column, crop: Column, doc_type: Column, quality: Column) -> Column:
     """What is wrong with a request given as form text, as an array of messages."""
     c, q = to_int(crop), to_int(quality)

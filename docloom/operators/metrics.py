@@ -10,6 +10,49 @@ from docloom.functions.validate import MODEL_CAPS
 MB = 1048576
 
 
+def _day(time_col: str) -> Column:
+    return F.to_date(time_col).alias("__day")
+
+
+def previous_in_group(df: DataFrame, keys: list[str], time_col: str, id_col: str) -> DataFrame:
+    """(id, previous): the row before each one of its group by (time, id).
+
+    A group may hold a tenth of all rows, so it is cut into days: rows look back
+    within their day, and the first of a day takes the last of the day before from
+    a table of one row a group and day.
+    """
+    x = df.select(*keys, time_col, id_col, _day(time_col))
+    last = x.groupBy(*keys, "__day").agg(F.max(F.struct(time_col, id_col))[id_col].alias("__last"))
+    carry = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__day"))).drop("__last")
+    w = Window.partitionBy(*keys, "__day").orderBy(time_col, id_col)
+    y = x.withColumn("__own", F.lag(id_col).over(w)).join(carry, [*keys, "__day"], "left")
+    return y.select(id_col, F.coalesce("__own", "__carry").alias("previous"))
+
+
+def running_in_group(df: DataFrame, keys: list[str], time_col: str, id_col: str, value_col: str, rows: int = 3) -> DataFrame:
+    """(id, place, total): each row's place in its group by (time, id) and the sum of the last ``rows`` values.
+
+    By days as in ``previous_in_group``: places start after the counts of the days
+    before, sums take up the last values of those days. Keys and times may be null.
+    """
+    x = df.select(*[F.coalesce(F.col(k), F.lit("\0")).alias(k) for k in keys], time_col, id_col, value_col, F.coalesce(_day(time_col), F.lit("0001-01-01").cast("date")).alias("__day"))
+    w = Window.partitionBy(*keys, "__day").orderBy(time_col, id_col)
+    x = x.withColumns({"__n": F.row_number().over(w), "__own": F.collect_list(F.struct(F.col(value_col).alias("v"))).over(w.rowsBetween(1 - rows, 0))})
+    day = x.groupBy(*keys, "__day").agg(F.count("*").alias("__size"), F.max_by("__own", "__n").alias("__tail"))
+    d = Window.partitionBy(*keys).orderBy("__day")
+    before = d.rowsBetween(Window.unboundedPreceding, -1)
+    # every day has a row, so the last rows - 1 days hold what a sum can need
+    tails = F.flatten(F.collect_list("__tail").over(d.rowsBetween(1 - rows, -1)))
+    day = day.select(*keys, "__day", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"), tails.alias("__tails"))
+    y = x.join(day, [*keys, "__day"])
+    values = F.concat("__tails", "__own")
+    values = F.slice(values, F.greatest(F.lit(1), F.size(values) - (rows - 1)), F.lit(rows))
+    # a window within the day that is already full has no need of the days before: its values come last
+    some = F.filter(values, lambda v: v["v"].isNotNull())
+    total = F.when(F.size(some) > 0, F.aggregate(some, F.lit(0).cast("bigint"), lambda a, v: a + v["v"]))
+    return y.select(id_col, (F.col("__before") + F.col("__n")).cast("int").alias("place"), total.alias("total"))
+
+
 def size_metrics(pages: DataFrame, doc_col: str = "run_id") -> DataFrame:
     """Pages, megabytes before and after, and the unweighted mean of the page
     ratios (optimised / original), null where no page has both sizes."""

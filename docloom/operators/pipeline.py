@@ -5,11 +5,16 @@ Python; each file stays one row, failures carry an error struct.
 
 ``extract``: page images -> validated answers. All pages of a document go into
 one model call, so pages meet in one shuffle by document; the model is a
-plug-in (``Extractor``).
+plug-in (``Extractor``). Pages may be references (paths) that the task loads, so
+that no row holds a document's images. ``extract_by_page`` calls the model for
+each page instead, so only answers meet. Calls time out and are repeated with
+growing delays where the failure is a passing one.
 """
 
 from __future__ import annotations
 
+import logging
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -53,13 +58,10 @@ def convert(df: DataFrame, options: ConvertOptions = ConvertOptions()) -> DataFr
     info = detect.enhance_info(F.col("content"), mime, detect.extension_of(F.col("path")), F.col("path"))
     x = df.select("path", "content", info.alias("i"))
     i = F.col("i")
-    is_docx = F.coalesce((F.lower(i["extension"]) == ".docx") | F.startswith(i["mimetype"], F.lit(detect.DOCX)), F.lit(False))
-    text = F.coalesce(i["mimetype"].isin("text/plain", "text/markdown"), F.lit(False))
-    html = F.coalesce(i["mimetype"] == "text/html", F.lit(False))
     own = F.lit(None).cast("string")
     for name, accepts, _ in reversed(_CONVERTERS):
         own = F.when(F.coalesce(accepts(F.col("content"), i["mimetype"], i["extension"]), F.lit(False)), name).otherwise(own)
-    kind = F.coalesce(own, F.when(is_docx, "docx").when(html, "html").when(text, "text"), F.lit("none"))
+    kind = F.coalesce(own, detect.converter_of(F.col("content"), i["mimetype"], i["extension"]), F.lit("none"))
     x = x.withColumn("kind", kind).withColumn("filename", i["filename"])
     o = htmlmd.Options(options.preserve_tables, options.heading_style, options.compat)
     parts = []
@@ -87,6 +89,46 @@ def convert(df: DataFrame, options: ConvertOptions = ConvertOptions()) -> DataFr
     return out.select("path", F.when(failed, F.lit(options.failed_title)).otherwise(F.col("title")).alias("title"), F.when(failed, F.lit("")).otherwise(F.col("markdown")).alias("markdown"), errors.error_struct(code, F.col("phase"), F.col("e")).alias("error"))
 
 
+_LOG = logging.getLogger("docloom.extract")
+
+
+@dataclass(frozen=True)
+class Calls:
+    """How a model is called: seconds a call may take, repetitions, and delays of
+    ``base`` seconds times ``factor`` to the power of the attempt, at most ``most``."""
+
+    timeout: float = 120.0
+    retries: int = 2
+    base: float = 1.0
+    factor: float = 2.0
+    most: float = 60.0
+
+    def run(self, f: Callable[[], str]) -> tuple[str | None, str | None, int]:
+        """(answer, failure, attempts). A call that hangs is left behind in its thread."""
+        failure: str | None = None
+        for k in range(1 + (self.retries or 2)):
+            got: list = []
+
+            def call() -> None:
+                try:
+                    got.append((f(), None))
+                except Exception as e:  # noqa: BLE001 - the row keeps its place
+                    got.append((None, e))
+
+            t = threading.Thread(target=call, daemon=True)
+            t.start()
+            t.join(self.timeout)
+            answer, error = got[0] if got else (None, TimeoutError(f"timeout after {self.timeout:g} s"))
+            if error is None:
+                return answer, None, k + 1
+            failure = f"{type(error).__name__}: {error}"
+            _LOG.warning("attempt %d failed: %s", k + 1, failure)
+            if not errors.passing(error) or k == (self.retries or 2):
+                break
+            time.sleep(min(self.most, self.base * self.factor**k))
+        return None, failure, k + 1
+
+
 class Extractor(Protocol):
     """A model behind the engine. It is pickled to the executors; secrets stay in its own configuration."""
 
@@ -115,31 +157,35 @@ class ProviderConfig:
         return ProviderConfig(self.provider, self.model or env.get(f"{up}_MODEL") or validate.DEFAULT_MODELS[self.provider], key, url)
 
 
-def extract(pages: DataFrame, extractor: Extractor, schema: schemas.Type | None = None, document_type: str | None = None, tables_only: bool = False, model: str = "", mode: str = "PERMISSIVE", retries: int = 2, doc_col: str = "doc_id") -> DataFrame:
+def _prompt(document_type: str | None, tables_only: bool) -> str:
+    """The same system text for every provider, then the task."""
+    return validate.PROMPTS["system"] + "\n\n" + validate.PROMPTS["tables" if tables_only else "invoice" if document_type == "invoice" else "generic"]
+
+
+def extract(pages: DataFrame, extractor: Extractor, schema: schemas.Type | None = None, document_type: str | None = None, tables_only: bool = False, model: str = "", mode: str = "PERMISSIVE", retries: int = 2, doc_col: str = "doc_id", calls: Calls | None = None, load: Callable[[str], bytes] | None = None) -> DataFrame:
     """(doc, page_no, image) -> doc, page_count, schema_used, model, success, data, errors, attempts, elapsed_ms.
 
-    ``retries`` of 0 means 2. A failing call leaves its row with an error.
+    ``retries`` of 0 means 2. A failing call leaves its row with an error. With
+    ``load`` the pages are (doc, page_no, path), and a document's images are only
+    read by the task that calls the model.
     """
     name = "custom" if schema else "tables_only" if tables_only else {"invoice": "invoice", "receipt": "receipt", "tables": "tables"}.get((document_type or "").lower(), "comprehensive_invoice")
-    prompt = validate.PROMPTS["tables" if tables_only else "invoice" if document_type == "invoice" else "generic"]
-    tries = 1 + (retries or 2)
+    prompt = _prompt(document_type, tables_only)
+    how = calls or Calls(retries=retries)
+    column = "path" if load else "image"
+    read = load or (lambda x: x)
 
     def fn(ids, images):
         out = {doc_col: ids, "page_count": [len(x) for x in images], "answer": [], "failure": [], "attempts": [], "elapsed_ms": []}
         for pics in images:
-            start, answer, failure, k = time.monotonic(), None, None, 0
-            for k in range(1, tries + 1):
-                try:
-                    answer, failure = extractor.generate([p["image"] for p in pics], prompt, model), None
-                    break
-                except Exception as e:  # noqa: BLE001 - the row keeps its place
-                    failure = f"{type(e).__name__}: {e}"
+            start = time.monotonic()
+            answer, failure, k = how.run(lambda: extractor.generate([read(p[column]) for p in pics], prompt, model))  # noqa: B023
             for n, v in zip(("answer", "failure", "attempts", "elapsed_ms"), (answer, failure, k, (time.monotonic() - start) * 1000)):
                 out[n].append(v)
         return out
 
     kind = pages.schema[doc_col].dataType.simpleString()
-    by_doc = pages.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct("page_no", "image"))).alias("pages"))  # the pages of one document
+    by_doc = pages.groupBy(doc_col).agg(F.sort_array(F.collect_list(F.struct("page_no", column))).alias("pages"))  # the pages of one document
     got = map_columns(by_doc, fn, f"{doc_col} {kind}, page_count int, answer string, failure string, attempts int, elapsed_ms double")
     got = got.withColumn("schema_name", F.lit(name))
     checked = schemas.validate_answers(got.select(F.struct(doc_col, "page_count", "failure", "attempts", "elapsed_ms").alias("k"), "schema_name", "answer"), schema, mode, "k", "schema_name", "answer")
@@ -148,6 +194,36 @@ def extract(pages: DataFrame, extractor: Extractor, schema: schemas.Type | None
     return checked.select(f"k.{doc_col}", F.when(F.col("success"), F.col("k.page_count")).otherwise(0).alias("page_count"), F.when(F.col("success"), F.lit(name)).otherwise("unknown").alias("schema_used"), F.when(F.col("success"), F.lit(model)).otherwise("unknown").alias("model"), "success", "data", errs.alias("errors"), "k.attempts", "k.elapsed_ms")
 
 
+def extract_by_page(pages: DataFrame, extractor: Extractor, schema: schemas.Type | None = None, document_type: str | None = None, tables_only: bool = False, model: str = "", doc_col: str = "doc_id", calls: Calls | None = None, load: Callable[[str], bytes] | None = None) -> DataFrame:
+    """(doc, page_no, image or path) -> doc, page_count, n_failed, results: a call for each page.
+
+    ``results`` holds each page's number, validity, answer and errors in order of the pages.
+    """
+    key = F.struct(F.col(doc_col).alias("doc"), F.col("page_no").alias("page"))
+    one = pages.select(key.alias("k"), F.lit(1).alias("page_no"), "path" if load else "image")
+    got = extract_of_keys(one, extractor, schema, document_type, tables_only, model, calls, load)
+    row = F.struct(F.col("k.page").alias("page"), F.col("success").alias("valid"), "data", "errors")
+    by_doc = got.groupBy(F.col("k.doc").alias(doc_col)).agg(F.sort_array(F.collect_list(row)).alias("results"))
+    return by_doc.select(doc_col, F.size("results").alias("page_count"), F.size(F.filter("results", lambda x: ~x["valid"])).alias("n_failed"), "results")
+
+
+def extract_of_keys(one: DataFrame, extractor: Extractor, schema: schemas.Type | None, document_type: str | None, tables_only: bool, model: str, calls: Calls | None, load: Callable[[str], bytes] | None) -> DataFrame:
+    """``extract`` of rows that are a document each: no shuffle."""
+    name = "custom" if schema else "tables_only" if tables_only else {"invoice": "invoice", "receipt": "receipt", "tables": "tables"}.get((document_type or "").lower(), "comprehensive_invoice")
+    prompt = _prompt(document_type, tables_only)
+    how, read = calls or Calls(), load or (lambda x: x)
+
+    def fn(keys, images):
+        got = [how.run(lambda: extractor.generate([read(p)], prompt, model)) for p in images]  # noqa: B023
+        return {"k": keys, "answer": [g[0] for g in got], "failure": [g[1] for g in got]}
+
+    kind = one.schema["k"].dataType.simpleString()
+    got = map_columns(one.select("k", "path" if load else "image"), fn, f"k {kind}, answer string, failure string").withColumn("schema_name", F.lit(name))
+    checked = schemas.validate_answers(got.select(F.struct("k", "failure").alias("x"), "schema_name", "answer"), schema, "PERMISSIVE", "x", "schema_name", "answer")
+    errs = F.when(F.col("x.failure").isNotNull(), F.array(F.struct(F.lit("").alias("path"), F.col("x.failure").alias("message")))).otherwise(F.col("errors"))
+    return checked.select(F.col("x.k").alias("k"), "success", "data", errs.alias("errors"))
+
+
 def extract_invoices(pages: DataFrame, extractor: Extractor, **kw) -> DataFrame:
     return extract(pages, extractor, document_type="invoice", **kw)
 

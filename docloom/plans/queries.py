@@ -138,7 +138,11 @@ def pdf_upload(s, d):
     return _once(s, d, "conversions", "conv_id", "filename", "mimetype", "size_bytes").select("conv_id", detect.valid_pdf_upload(F.col("filename"), F.col("mimetype"), F.col("size_bytes") * 1000).alias("error"))
 
 
-@query("supported_types", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in (("extension", detect.SUPPORTED_EXT), ("mimetype", detect.SUPPORTED_MIME), ("feature", detect.FEATURES)) for v in vs) + ") t(kind, value)")
+@query(
+    "supported_types",
+    """SELECT * FROM (VALUES ('converter', 'DocxConverter'), ('extension', '.docx'), ('mimetype', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'), ('feature', 'Tables'),
+         ('feature', 'Math equations (OMML to LaTeX)'), ('feature', 'Headings and formatting'), ('feature', 'Images with alt text'), ('feature', 'Lists and structural elements'), ('feature', 'Custom style mapping'), ('feature', 'Batch processing')) t(kind, value)""",
+)
 def supported_types(s, d):
     return detect.supported_types(s)
 
@@ -656,8 +660,22 @@ def runs_rollup(s, d):
 
 @query("runs_window", f"SELECT run_id, CAST(row_number() OVER (PARTITION BY provider, model ORDER BY started_at, run_id) AS INTEGER) AS place, sum(page_count) OVER (PARTITION BY provider, model ORDER BY started_at, run_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)::BIGINT AS last_three FROM {_RUNS}")
 def runs_window(s, d):
-    w = Window.partitionBy("provider", "model").orderBy("started_at", "run_id")
-    return _runs(s, d).select("run_id", F.row_number().over(w).alias("place"), F.sum("page_count").over(w.rowsBetween(-2, 0)).alias("last_three"))
+    return metrics.running_in_group(_runs(s, d), ["provider", "model"], "started_at", "run_id", "page_count").withColumnRenamed("total", "last_three")
+
+
+@query("request_defaults", r"""SELECT run_id, coalesce(provider, 'scaleway') AS provider, coalesce(nullif(option, ''), 'none') AS model, coalesce(q, '*') AS query, TRY_CAST(nullif(regexp_extract(crop, '^\s*([+-]?[0-9]+)', 1), '') AS INTEGER) AS crop_size, tables_only,
+         CASE WHEN run_id % 3 = 0 THEN false ELSE true END AS enhance_contrast, CASE WHEN coalesce(quality, '') = '' THEN 95 ELSE TRY_CAST(quality AS INTEGER) END AS target_quality, false AS debug FROM REQ""".replace("REQ", _REQ))
+def request_defaults(s, d):
+    r = _requests(s, d)
+    text = lambda c: F.col(c).cast("string")
+    contrast = F.when(F.col("run_id") % 3 == 0, "false").when(F.col("run_id") % 3 == 1, "yes")
+    x = r.select("run_id", validate.request_defaults(F.col("provider"), F.coalesce(F.nullif("option", F.lit("")), F.lit("none")), F.col("q"), F.col("crop"), text("tables_only"), F.col("doc_type"), contrast, F.col("quality"), F.lit("no")).alias("r"))
+    return x.select("run_id", "r.provider", "r.model", "r.query", F.col("r.cropSize").alias("crop_size"), F.col("r.tablesOnly").alias("tables_only"), F.col("r.enhanceContrast").alias("enhance_contrast"), F.col("r.targetQuality").alias("target_quality"), "r.debug")
+
+
+@query("passing_errors", """SELECT run_id, CASE WHEN error_message IS NULL THEN false ELSE lower(error_message) SIMILAR TO '.*(rate limit|timeout|connection|econnreset|etimedout|429|503).*' END AS passing FROM (SELECT DISTINCT run_id, error_message FROM extract_runs)""")
+def passing_errors(s, d):
+    return _once(s, d, "extract_runs", "run_id", "error_message").select("run_id", errors.is_passing(F.col("error_message")).alias("passing"))
 
 
 @query("runs_without_pages", f"SELECT run_id FROM {_RUNS} r WHERE NOT EXISTS (SELECT 1 FROM page_images p WHERE p.run_id = r.run_id)")
@@ -673,7 +691,6 @@ def run_sets(s, d):
 
 @query("previous_run", f"SELECT run_id, prev AS previous_run FROM (SELECT a.run_id, b.run_id AS prev, row_number() OVER (PARTITION BY a.run_id ORDER BY b.started_at DESC, b.run_id DESC) AS k FROM {_RUNS} a JOIN {_RUNS} b ON a.source_path = b.source_path AND a.provider = b.provider AND a.model = b.model AND (b.started_at < a.started_at OR (b.started_at = a.started_at AND b.run_id < a.run_id))) WHERE k = 1")
 def previous_run(s, d):
-    """As-of join of each run with the one before it on the same file and model: a window, not a range join."""
-    w = Window.partitionBy("source_path", "provider", "model").orderBy("started_at", "run_id")
+    """As-of join of each run with the one before it on the same file and model: windows of a day, not a range join."""
     x = _runs(s, d).where("source_path is not null and provider is not null and model is not null and started_at is not null")
-    return x.select("run_id", F.lag("run_id").over(w).alias("previous_run")).where("previous_run is not null")
+    return metrics.previous_in_group(x, ["source_path", "provider", "model"], "started_at", "run_id").withColumnRenamed("previous", "previous_run").where("previous_run is not null")

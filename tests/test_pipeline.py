@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import detect, errors, imageplan
-from docloom.operators import pipeline, schemas
+from docloom.operators import metrics, pipeline, schemas
 from docloom.sources import docx, files
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math" xmlns:r="http://r"'
@@ -106,6 +106,76 @@ def test_extract(spark):
         pipeline.extract(df.where("doc_id = 3"), Echo(), spec, mode="FAILFAST").collect()
 
 
+class Hang:
+    def generate(self, images, prompt, model):
+        import time
+
+        if images[0] == b"hang":
+            time.sleep(30)
+        if images[0] == b"wrong":
+            raise ValueError("bad schema")
+        return json.dumps({"merchant_name": images[0].decode(), "total_amount": 1})
+
+
+def test_calls_time_out_and_back_off(monkeypatch):
+    waits = []
+    monkeypatch.setattr(pipeline.time, "sleep", waits.append)
+
+    def fail(what):
+        def f():
+            raise what
+
+        return f
+
+    calls = pipeline.Calls(timeout=5, retries=3, most=3)
+    assert calls.run(fail(RuntimeError("Rate limit hit")))[1:] == ("RuntimeError: Rate limit hit", 4) and waits == [1, 2, 3]
+    assert calls.run(fail(ValueError("no")))[1:] == ("ValueError: no", 1) and len(waits) == 3  # not worth repeating
+    assert calls.run(lambda: "x") == ("x", None, 1)
+
+
+def test_a_hanging_model_leaves_a_row(spark):
+    df = spark.createDataFrame([(1, 1, b"hang"), (2, 1, b"ok"), (3, 1, b"wrong")], "doc_id long, page_no int, image binary")
+    got = {r.doc_id: r for r in pipeline.extract_receipts(df, Hang(), calls=pipeline.Calls(timeout=0.3, retries=1, base=0.01)).collect()}
+    assert got[1].attempts == 2 and "timeout" in got[1].errors[0].message and got[3].attempts == 1 and got[2].attempts == 1
+
+
+def test_pages_by_reference_and_one_by_one(spark):
+    df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "wrong")], "doc_id long, page_no int, path string")
+    load = lambda p: p.encode()
+    whole = {r.doc_id: r for r in pipeline.extract_receipts(df, Echo(), load=load).collect()}
+    assert whole[1].page_count == 2 and json.loads(whole[1].data)["total_amount"] == 2
+    by = {r.doc_id: r for r in pipeline.extract_by_page(df, Hang(), document_type="receipt", load=load).collect()}
+    assert [(x.page, json.loads(x.data)["merchant_name"]) for x in by[1].results] == [(1, "a"), (2, "b")]
+    assert by[1].page_count == 2 and by[2].n_failed == 1 and "bad schema" in by[2].results[0].errors[0].message
+
+
+def test_gate_follows_convertible(spark, tmp_path):
+    data = docx_bytes() if "docx_bytes" in globals() else b"PK\x03\x04 word/ document.xml"
+    rows = [("a.bin", bytearray(data), "application/zip"), ("b.md", bytearray(b"# x"), "application/octet-stream"), ("c.bin", bytearray(b"\x01"), "application/octet-stream"), ("d.HTML", bytearray(b"<h1>t</h1>"), "application/x")]
+    df = spark.createDataFrame(rows, "path string, content binary, mimetype string")
+    takes = {r.path: r.convertible for r in detect.file_info(df).collect()}
+    got = {r.path: r.error for r in pipeline.convert(df).collect()}
+    assert takes == {"a.bin": True, "b.md": True, "c.bin": False, "d.HTML": True}
+    assert {p: bool(e and e.code == "UNSUPPORTED_FORMAT") for p, e in got.items()} == {p: not t for p, t in takes.items()}
+
+
+def test_windows_by_days(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    r = random.Random(2)
+    rows = [(i, r.choice(["a", "a", "b", None]), datetime(2024, 1, 1) + timedelta(hours=r.randrange(0, 300)), r.choice([None, 1, 2, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, at timestamp, v int")
+    run = {x.id: (x.place, x.total) for x in metrics.running_in_group(df, ["g"], "at", "id", "v").collect()}
+    prev = {x.id: x.previous for x in metrics.previous_in_group(df.where("g is not null"), ["g"], "at", "id").collect()}
+    for g in ("a", "b", None):
+        own = sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0]))
+        for k, x in enumerate(own):
+            last = [y[3] for y in own[max(0, k - 2) : k + 1] if y[3] is not None]
+            assert run[x[0]] == (k + 1, sum(last) if last else None)
+            assert g is None or prev[x[0]] == (own[k - 1][0] if k else None)
+
+
 def test_provider_config():
     with pytest.raises(ValueError):
         pipeline.ProviderConfig("scaleway").resolve({})
