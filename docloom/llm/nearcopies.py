@@ -9,8 +9,9 @@ dropping WIDTH - CORE of its hashes. Similar texts share many hashes, and some
 of these stand close together in both, so of the sets of two only those at most
 ``REACH`` ranks apart are emitted. These variants are shuffled, equal ones meet,
 the colliding pairs are deduplicated and each is verified on the full shingle
-sets. Pairs whose sizes or whose 128 two-bit minhashes are too far apart are
-dropped in the join, before they are written anywhere.
+sets. Pairs whose sizes or whose 64 two-bit minhashes are too far apart are
+dropped in the join, before they are written anywhere, and those whose 256 are
+before the sets are fetched.
 
 A binary fingerprint was computed first: at the lowest true similarity (0.58)
 one minhash bit differs with probability 0.21, so 64 bits need radius 20 and
@@ -47,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.arrow import map_columns
@@ -61,7 +62,9 @@ WIDE, FURTHER, LEVELS = 200, 3, 6
 COUNTERS, FLAGS = 1 << 20, 1 << 24
 #: a shingle in more than this share of the texts (and more than HOT_LEAST texts) is frequent
 HOT_SHARE, HOT_LEAST = 0.002, 64
-SIGNATURE = ("s0", "s1", "s2", "s3")
+#: 256 two-bit minhashes, their first bits in s0 to s3, the second in s4 to s7; those of 64 travel with the variants
+SIGNATURE = tuple(f"s{k}" for k in range(8))
+CARRIED = ("s0", "s4")
 _BLOCK = 1 << 12
 _STEP, _ASIDE, _ALONE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -107,7 +110,7 @@ def frequent_slots(df: DataFrame, text_col: str = "markdown") -> tuple[bytes, in
 def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """(id, cls, fp, hot, stock, s0 to s3, n, s): class digest of the shingle set, its
     fingerprint with a bit for each frequent hash, how many of 1/4 and 5/12 the share
-    of its frequent shingles reaches, 128 two-bit minhashes, its size
+    of its frequent shingles reaches, 256 two-bit minhashes, its size
     and the set itself as 32-bit hashes, for verification."""
     share = df.sparkSession.sparkContext.broadcast(hot)
     names = (id_col, "cls", "fp", "hot", "stock", *SIGNATURE, "n", "s")
@@ -140,20 +143,26 @@ def fingerprints(df: DataFrame, hot: bytes, id_col: str, text_col: str, width: i
 
 
 def _signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """128 two-bit values a text: of each of 128 equal ranges of the hashes, two bits
-    of the least hash in it. The first bits fill s0 and s1, the second s2 and s3."""
+    """256 two-bit values a text: of each of 256 equal ranges of the hashes, two bits
+    of the least hash in it."""
     n = len(at) - 1
-    sig = np.zeros((n, 4), np.uint64)
+    sig = np.zeros((n, 8), np.uint64)
     if len(h):
-        of, range_ = np.repeat(np.arange(n), np.diff(at)), (h >> np.uint64(41)).astype(np.int64)
+        of, range_ = np.repeat(np.arange(n), np.diff(at)), (h >> np.uint64(40)).astype(np.int64)
         first = np.concatenate(([True], (of[1:] != of[:-1]) | (range_[1:] != range_[:-1])))
         least, place = S.mix(h[first]), (range_[first] & 63).astype(np.uint64)
         for p in (0, 1):
             bit = ((least >> np.uint64(p)) & np.uint64(1)) << place
-            np.bitwise_or.at(sig, (of[first], 2 * p + (range_[first] >> 6)), bit)
+            np.bitwise_or.at(sig, (of[first], 4 * p + (range_[first] >> 6)), bit)
     return sig.astype(np.int64)
 
 
+def _apart(halves: list[tuple[str, str]]) -> Column:
+    """How many two-bit values of a and b differ."""
+    x = lambda c: F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))
+    return sum((F.bit_count(x(p).bitwiseOR(x(q))) for p, q in halves[1:]), F.bit_count(x(halves[0][0]).bitwiseOR(x(halves[0][1]))))
+
+
 def variants(fps: list, hots: list[int], stocks: list[int], wide: list[np.ndarray], open_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, variant, role) of all texts: sets of ``CORE`` hashes, extended where ``wide``.
 
@@ -202,10 +211,10 @@ def variants(fps: list, hots: list[int], stocks: list[int], wide: list[np.ndarra
     return np.concatenate(texts), np.concatenate(keys), np.concatenate(roles)
 
 
-def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False) -> DataFrame:
-    """``variants`` of (rep, fp, hot, stock, s0 to s3, n): (v, role, r, s0 to s3, n), or v only."""
+def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False, only: int = 0) -> DataFrame:
+    """``variants`` of one role of (rep, fp, hot, stock, CARRIED, n): (v, rep, CARRIED, n), or v only."""
     share = reps.sparkSession.sparkContext.broadcast(wide)
-    carried = [] if open_only else ["rep", *SIGNATURE, "n"]
+    carried = [] if open_only else ["rep", *CARRIED, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in share.value]
@@ -218,11 +227,12 @@ def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False) ->
             t, v, role = variants(fps, b.column("hot").to_pylist(), b.column("stock").to_pylist(), flags, open_only)
             cols = [pa.array(v.view(np.int64))]
             if not open_only:
-                cols += [pa.array(role), *[b.column(c).take(pa.array(t)) for c in carried]]
-            yield pa.RecordBatch.from_arrays(cols, ["v"] if open_only else ["v", "role", *carried])
+                mine = np.flatnonzero(role == only)
+                cols = [pa.array(v.view(np.int64)[mine]), *[b.column(c).take(pa.array(t[mine])) for c in carried]]
+            yield pa.RecordBatch.from_arrays(cols, ["v", *carried])
 
     kind = reps.schema["rep"].dataType.simpleString()
-    schema = "v bigint" if open_only else f"v bigint, role tinyint, rep {kind}, {', '.join(f'{c} bigint' for c in SIGNATURE)}, n int"
+    schema = "v bigint" if open_only else f"v bigint, rep {kind}, {', '.join(f'{c} bigint' for c in CARRIED)}, n int"
     return reps.select("fp", "hot", "stock", *carried).mapInArrow(run, schema)
 
 
@@ -259,15 +269,17 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     wide: list[bytes] = []
     while len(wide) < LEVELS - CORE and (flags := wide_flags(variant_rows(reps, wide, open_only=True), WIDE)):
         wide.append(flags)
-    keys = variant_rows(reps, wide)
-    a = keys.where("role <> 2").select("v", *[F.col(c).alias(f"{c}_a") for c in ("role", "rep", *SIGNATURE, "n")])
-    b = keys.where("role <> 1").select("v", *[F.col(c).alias(f"{c}_b") for c in ("role", "rep", *SIGNATURE, "n")])
-    x = [F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")) for c in SIGNATURE]
-    apart = F.bit_count(x[0].bitwiseOR(x[2])) + F.bit_count(x[1].bitwiseOR(x[3]))
-    like = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & (apart <= _most_apart(threshold))
-    once = F.col("rep_a") < F.col("rep_b")
-    met = a.join(b, "v").where(F.when(F.col("role_a") == 0, (F.col("role_b") == 0) & once).otherwise(F.col("role_b") == 2)).where(like)
-    cand = materialise(met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct(), "candidates")
+    side = lambda df, x: df.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", *CARRIED, "n")])
+    like = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & _close([CARRIED], threshold)
+    alike = variant_rows(reps, wide)  # one shuffle serves both sides
+    met = side(alike, "a").join(side(alike, "b"), "v").where(F.col("rep_a") < F.col("rep_b")).where(like)
+    across = side(variant_rows(reps, wide, only=1), "a").join(side(variant_rows(reps, wide, only=2), "b"), "v").where(like)
+    pair = [F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")]
+    met = materialise(met.select("rep_a", "rep_b").union(across.select(*pair)).distinct(), "met")
+    whole = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in (*SIGNATURE, "n")])
+    near = _close([(f"s{k}", f"s{k + 4}") for k in range(4)], threshold)
+    cand = met.join(whole("a"), "rep_a").join(whole("b"), "rep_b").where(near)
+    cand = materialise(cand.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "candidates")
     sets = lambda i, c: prints.select(F.col(id_col).alias(i), F.col("s").alias(c))
     y = cand.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -276,10 +288,18 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     return members, materialise(links.distinct(), "links")  # redelivered rows give a link twice
 
 
-def _most_apart(threshold: float, values: int = 128) -> int:
-    """Differing two-bit values that a pair at the threshold exceeds with a chance below 10^-4 (3.8 standard deviations)."""
-    p = (1 - threshold) * 3 / 4
-    return int(values * p + 3.8 * (values * p * (1 - p)) ** 0.5 + 1)
+def _close(halves: list[tuple[str, str]], threshold: float) -> Column:
+    """Whether so few two-bit values differ as they do for a pair at the threshold, but for a chance below 10^-4.
+
+    Of the ranges that the union of both sets occupies, at most a share of
+    1 - threshold has a least hash that is not common, and three in four of these
+    differ; the bound is 3.8 standard deviations above.
+    """
+    values = 64 * len(halves)
+    union = (F.col("n_a") + F.col("n_b")) / (1 + threshold)
+    occupied, differ = 1 - F.exp(-union / values), (1 - threshold) * 3 / 4
+    mean = values * occupied * differ
+    return _apart(halves) <= mean + 3.8 * F.sqrt(mean * (1 - occupied * differ)) + 1
 
 
 def near_pairs(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH) -> DataFrame:

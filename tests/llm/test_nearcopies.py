@@ -91,8 +91,10 @@ def collisions(spark, docs):
     wide = []
     while len(wide) < N.LEVELS - N.CORE and (f := N.wide_flags(N.variant_rows(reps, wide, open_only=True), N.WIDE)):
         wide.append(f)
-    n = N.variant_rows(reps, wide).groupBy("v").agg(F.sum((F.col("role") != 2).cast("int")).alias("a"), F.sum((F.col("role") != 1).cast("int")).alias("b"))
-    return n.agg(F.max(F.least("a", "b")), F.sum(F.col("a") * F.col("b"))).first()
+    count = lambda k, c: N.variant_rows(reps, wide, only=k).groupBy("v").agg(F.count("*").alias(c))
+    groups = [count(0, "a").withColumn("b", F.col("a")), count(1, "a").join(count(2, "b"), "v")]
+    most, pairs = zip(*[g.agg(F.coalesce(F.max(F.least("a", "b")), F.lit(0)), F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first() for g in groups])
+    return max(most), sum(pairs)
 
 
 def test_short_texts_with_a_stock_phrase_do_not_collide(spark):
