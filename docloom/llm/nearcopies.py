@@ -59,7 +59,7 @@ from docloom.plans.session import materialise
 WIDTH, CORE, REACH, SHINGLE = 24, 2, 2, 3
 #: a variant of more texts is extended, by one of so many next ranks, to at most so many hashes
 WIDE, FURTHER, LEVELS = 200, 3, 6
-COUNTERS, FLAGS = 1 << 20, 1 << 24
+COUNTERS, FLAGS, PART_ROWS = 1 << 20, 1 << 24, 400_000
 #: a shingle in more than this share of the texts (and more than HOT_LEAST texts) is frequent
 HOT_SHARE, HOT_LEAST = 0.002, 64
 #: 256 two-bit minhashes, their first bits in s0 to s3, the second in s4 to s7; those of 64 travel with the variants
@@ -271,11 +271,12 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
         wide.append(flags)
     side = lambda df, x: df.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", *CARRIED, "n")])
     like = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & _close([CARRIED], threshold)
-    alike = variant_rows(reps, wide)  # one shuffle serves both sides
+    # one shuffle serves both sides, in parts of about PART_ROWS rows whatever the size of the collection
+    alike = variant_rows(reps, wide).repartition(1 + reps.count() * 2 * width // PART_ROWS, "v")
     met = side(alike, "a").join(side(alike, "b"), "v").where(F.col("rep_a") < F.col("rep_b")).where(like)
     across = side(variant_rows(reps, wide, only=1), "a").join(side(variant_rows(reps, wide, only=2), "b"), "v").where(like)
     pair = [F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")]
-    met = materialise(met.select("rep_a", "rep_b").union(across.select(*pair)).distinct(), "met")
+    met = met.select("rep_a", "rep_b").union(across.select(*pair)).distinct()
     whole = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in (*SIGNATURE, "n")])
     near = _close([(f"s{k}", f"s{k + 4}") for k in range(4)], threshold)
     cand = met.join(whole("a"), "rep_a").join(whole("b"), "rep_b").where(near)
