@@ -55,3 +55,9 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/docloom/{name}-{os.getpid()}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished tables removed now: Spark drops those that
+    nothing refers to any more, but only looks when the driver collects garbage."""
+    spark.sparkContext._jvm.System.gc()
