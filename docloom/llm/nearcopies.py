@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from docloom.functions.arrow import map_columns
 from docloom.llm import shingles as S
 from docloom.llm.lookalike import canonical
-from docloom.plans.session import materialise
+from docloom.plans.session import free_shuffles, materialise
 
 WIDTH, CORE, REACH, SHINGLE = 24, 2, 2, 3
 #: a variant of more texts is extended, by one of so many next ranks, to at most so many hashes
@@ -266,9 +266,11 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     first = [F.first(c).alias(c) for c in ("fp", "hot", "stock", *SIGNATURE, "n")]
     reps = materialise(prints.groupBy("cls").agg(F.min(id_col).alias("rep"), *first), "reps")
     members = materialise(prints.select(id_col, "cls").distinct().join(reps.select("cls", "rep"), "cls").select(id_col, "rep"), "members")
+    free_shuffles(df.sparkSession)
     wide: list[bytes] = []
     while len(wide) < LEVELS - CORE and (flags := wide_flags(variant_rows(reps, wide, open_only=True), WIDE)):
         wide.append(flags)
+    free_shuffles(df.sparkSession)
     side = lambda df, x: df.select("v", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", *CARRIED, "n")])
     like = (F.col("n_a") >= threshold * F.col("n_b")) & (F.col("n_b") >= threshold * F.col("n_a")) & _close([CARRIED], threshold)
     # one shuffle serves both sides, in parts of about PART_ROWS rows whatever the size of the collection
@@ -276,11 +278,13 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     met = side(alike, "a").join(side(alike, "b"), "v").where(F.col("rep_a") < F.col("rep_b")).where(like)
     across = side(variant_rows(reps, wide, only=1), "a").join(side(variant_rows(reps, wide, only=2), "b"), "v").where(like)
     pair = [F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")]
-    met = met.select("rep_a", "rep_b").union(across.select(*pair)).distinct()
+    met = materialise(met.select("rep_a", "rep_b").union(across.select(*pair)).distinct(), "met")
+    free_shuffles(df.sparkSession)
     whole = lambda x: reps.select(F.col("rep").alias(f"rep_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in (*SIGNATURE, "n")])
     near = _close([(f"s{k}", f"s{k + 4}") for k in range(4)], threshold)
     cand = met.join(whole("a"), "rep_a").join(whole("b"), "rep_b").where(near)
     cand = materialise(cand.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "candidates")
+    free_shuffles(df.sparkSession)
     sets = lambda i, c: prints.select(F.col(id_col).alias(i), F.col("s").alias(c))
     y = cand.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
