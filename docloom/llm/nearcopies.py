@@ -58,7 +58,7 @@ from docloom.plans.session import free_shuffles, materialise
 
 WIDTH, CORE, REACH, SHINGLE = 24, 2, 2, 3
 #: a variant of more texts is extended, by one of so many next ranks, to at most so many hashes
-WIDE, FURTHER, LEVELS = 200, 3, 6
+WIDE, FURTHER, LEVELS = 25, 3, 6
 COUNTERS, FLAGS, PART_ROWS = 1 << 20, 1 << 24, 400_000
 #: a shingle in more than this share of the texts (and more than HOT_LEAST texts) is frequent
 HOT_SHARE, HOT_LEAST = 0.002, 64
@@ -211,13 +211,15 @@ def variants(fps: list, hots: list[int], stocks: list[int], wide: list[np.ndarra
     return np.concatenate(texts), np.concatenate(keys), np.concatenate(roles)
 
 
-def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False, only: int = 0) -> DataFrame:
-    """``variants`` of one role of (rep, fp, hot, stock, CARRIED, n): (v, rep, CARRIED, n), or v only."""
-    share = reps.sparkSession.sparkContext.broadcast(wide)
+def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False, only: int = 0, asked: bytes | None = None) -> DataFrame:
+    """``variants`` of one role of (rep, fp, hot, stock, CARRIED, n): (v, rep, CARRIED, n), or v only.
+    ``asked`` has the flags of the only variants that can meet another."""
+    share = reps.sparkSession.sparkContext.broadcast([*wide, *([asked] if asked else [])])
     carried = [] if open_only else ["rep", *CARRIED, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in share.value]
+        last = flags.pop() if asked else None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -228,6 +230,8 @@ def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False, on
             cols = [pa.array(v.view(np.int64))]
             if not open_only:
                 mine = np.flatnonzero(role == only)
+                if asked:
+                    mine = mine[last[(v[mine] & np.uint64(FLAGS - 1)).astype(np.int64)]]
                 cols = [pa.array(v.view(np.int64)[mine]), *[b.column(c).take(pa.array(t[mine])) for c in carried]]
             yield pa.RecordBatch.from_arrays(cols, ["v", *carried])
 
@@ -276,7 +280,9 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     # one shuffle serves both sides, in parts of about PART_ROWS rows whatever the size of the collection
     alike = variant_rows(reps, wide).repartition(1 + reps.count() * 2 * width // PART_ROWS, "v")
     met = side(alike, "a").join(side(alike, "b"), "v").where(F.col("rep_a") < F.col("rep_b")).where(like)
-    across = side(variant_rows(reps, wide, only=1), "a").join(side(variant_rows(reps, wide, only=2), "b"), "v").where(like)
+    fewer = variant_rows(reps, wide, only=2)
+    fuller = variant_rows(reps, wide, only=1, asked=wide_flags(fewer.select("v"), 0) or bytes(FLAGS // 8))
+    across = side(fuller, "a").join(side(fewer, "b"), "v").where(like)
     pair = [F.least("rep_a", "rep_b").alias("rep_a"), F.greatest("rep_a", "rep_b").alias("rep_b")]
     met = materialise(met.select("rep_a", "rep_b").union(across.select(*pair)).distinct(), "met")
     free_shuffles(df.sparkSession)
