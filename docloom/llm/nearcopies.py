@@ -260,6 +260,20 @@ def wide_flags(keys: DataFrame, most: int = WIDE) -> bytes | None:
     return b"".join(by.get(k, bytes(size // 8)) for k in range(512))
 
 
+def flagged(rows: DataFrame, flags: bytes) -> DataFrame:
+    """The rows whose ``v`` has its flag set; a superset of the flagged values, without a shuffle."""
+    share = rows.sparkSession.sparkContext.broadcast(flags)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(share.value, np.uint8)).astype(bool)
+        for b in batches:
+            keep = bits[b.column("v").to_numpy() & (FLAGS - 1)]
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdown", threshold: float = 0.5, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(members, links): (id, rep) of every text with shingles, and the verified
     (rep_a, rep_b, similarity) between classes. Both are tables in the shared folder."""
@@ -291,7 +305,11 @@ def near_classes(df: DataFrame, id_col: str = "conv_id", text_col: str = "markdo
     cand = met.join(whole("a"), "rep_a").join(whole("b"), "rep_b").where(near)
     cand = materialise(cand.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")), "candidates")
     free_shuffles(df.sparkSession)
-    sets = lambda i, c: prints.select(F.col(id_col).alias(i), F.col("s").alias(c))
+    # only sets of texts with candidates are shuffled
+    ids = cand.select(F.col("a").alias("i")).union(cand.select("b"))
+    asked = wide_flags(ids.select(F.xxhash64("i").alias("v")), 0)
+    held = flagged(prints.select(F.xxhash64(id_col).alias("v"), F.col(id_col).alias("i"), "s"), asked or bytes(FLAGS // 8))
+    sets = lambda i, c: held.select(F.col("i").alias(i), F.col("s").alias(c))
     y = cand.join(sets("a", "sa"), "a").join(sets("b", "sb"), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     scored = y.select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), both.alias("k"), (F.size("sa") + F.size("sb")).alias("n"))
