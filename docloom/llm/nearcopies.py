@@ -44,6 +44,7 @@ for redelivery.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,11 +215,11 @@ def variants(fps: list, hots: list[int], stocks: list[int], wide: list[np.ndarra
 def variant_rows(reps: DataFrame, wide: list[bytes], open_only: bool = False, only: int = 0, asked: bytes | None = None) -> DataFrame:
     """``variants`` of one role of (rep, fp, hot, stock, CARRIED, n): (v, rep, CARRIED, n), or v only.
     ``asked`` has the flags of the only variants that can meet another."""
-    share = reps.sparkSession.sparkContext.broadcast([*wide, *([asked] if asked else [])])
+    share = reps.sparkSession.sparkContext.broadcast([zlib.compress(x, 1) for x in (*wide, *([asked] if asked else []))])
     carried = [] if open_only else ["rep", *CARRIED, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = [np.unpackbits(np.frombuffer(x, np.uint8)).astype(bool) for x in share.value]
+        flags = [np.unpackbits(np.frombuffer(zlib.decompress(x), np.uint8)).astype(bool) for x in share.value]
         last = flags.pop() if asked else None
         for b in batches:
             if not b.num_rows:
@@ -262,10 +263,10 @@ def wide_flags(keys: DataFrame, most: int = WIDE) -> bytes | None:
 
 def flagged(rows: DataFrame, flags: bytes) -> DataFrame:
     """The rows whose ``v`` has its flag set; a superset of the flagged values, without a shuffle."""
-    share = rows.sparkSession.sparkContext.broadcast(flags)
+    share = rows.sparkSession.sparkContext.broadcast(zlib.compress(flags, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(share.value, np.uint8)).astype(bool)
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(share.value), np.uint8)).astype(bool)
         for b in batches:
             keep = bits[b.column("v").to_numpy() & (FLAGS - 1)]
             if keep.any():
