@@ -233,4 +233,6 @@ def test_facade(spark):
     df = spark.createDataFrame([("a.html", b"<p>x"), ("b.bin", b"\x00")], "path string, content binary")
     assert [r.markdown for r in api.to_markdown(df).orderBy("path").collect()] == ["x\n", ""]
     assert {r.path: r.supported for r in api.is_supported(df).collect()} == {"a.html": True, "b.bin": False}
-    assert api.supported_types(spark).count() > 10 and api.providers["mistral"]["default"] == "pixtral-12b-latest"
+    listed = {(r.kind, r.value) for r in api.supported_types(spark).collect()}
+    assert {v for k, v in listed if k == "extension"} == {".docx"} and len(listed) == 10  # the word-processor converter alone
+    assert api.providers["mistral"]["default"] == "pixtral-12b-latest"
